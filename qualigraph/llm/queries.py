@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qualigraph.llm import bpe, quality, sharding
+from qualigraph.llm import bpe, dac, quality, sharding
 from qualigraph.llm.common import table
 
 
@@ -33,6 +33,13 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = dac.new_folder(spark)
+    manifest = dac.write(docs, _vocabulary("word_bpe_49k.json"), folder, end_id=2)
+    return dac.with_crc(dac.read(spark, folder, manifest)).withColumnRenamed("key", "doc_id")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     q = F.col("_quality")
@@ -52,5 +59,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op4_bpe": op4_bpe,
+    "op7_token_codes": op7_token_codes,
     "op10_quality": op10_quality,
 }
