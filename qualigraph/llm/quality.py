@@ -69,7 +69,7 @@ def repeated_words(words: Column, width: int = WINDOW) -> Column:
     O(n log n) for a text of n words, whatever the number of repeats.
     """
     starts = F.sequence(F.lit(1), F.size(words) - F.lit(width - 1))
-    windows = F.array_sort(
+    windows = F.sort_array(
         F.transform(starts, lambda i: F.struct(F.concat_ws(" ", F.slice(words, i, width)).alias("k"), i.alias("i")))
     )
 
@@ -84,7 +84,7 @@ def repeated_words(words: Column, width: int = WINDOW) -> Column:
         gaps = F.transform(d, lambda x, p: F.least(F.lit(width), F.coalesce(F.get(d, p + 1) - x, F.lit(width))))
         return F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x)
 
-    found = bind(windows, lambda s: bind(F.array_sort(F.transform(twice(s), lambda x: x["i"])), covered))
+    found = bind(windows, lambda s: bind(F.sort_array(F.transform(twice(s), lambda x: x["i"])), covered))
     return F.when(F.size(words) <= width, F.lit(0).cast("long")).otherwise(found)
 
 
@@ -94,8 +94,7 @@ def measures(text: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
     words = F.filter(F.split(text, WORD_SPLIT), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: _without(x, SPACES) != "")
     bare = F.split(F.lower(F.regexp_replace(text, r"[^\p{L}\x20\x09-\x0D]+", "")), WORD_SPLIT)
-    is_stop = F.array(*[F.lit(w) for w in stop_words])
-    stops = F.size(F.filter(bare, lambda w: F.array_contains(is_stop, w)))
+    stops = F.size(F.filter(bare, lambda w: w.isin(*dict.fromkeys(stop_words))))
 
     def all_of(w: Column) -> Column:
         return F.struct(
