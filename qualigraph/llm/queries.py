@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qualigraph.llm import bpe, dac, quality, sharding
-from qualigraph.llm.common import table
+from qualigraph.llm import bpe, dac, packing, quality, sharding, warc
+from qualigraph.llm.common import cut, new_folder, table
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,9 +37,32 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Pages whose replica op5 lets rot, to have something to find: a fixed share by a hash of the key.
+ROT = "00"
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two replicas of all pages, one byte of some records changed in the second, and the audit's finding for each page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    made = warc.records(pages)
+    body = F.col("record")
+    rots = F.substring(F.md5(F.concat(F.lit("rot:"), F.col("key").cast("string")).cast("binary")), 1, 2) == ROT
+    half = F.floor(F.octet_length(body) / 2).cast("int")
+    worn = F.concat(F.substring(body, F.lit(1), half), F.lit(b"~"), F.expr("substring(record, cast(floor(octet_length(record) / 2) as int) + 2)"))
+    replica = made.withColumn("record", F.when(rots, worn).otherwise(body))
+    found = []
+    for rows in (made, replica):
+        folder = new_folder(spark, "warc")
+        found.append(cut(warc.read(spark, folder, warc.write(rows, folder))))
+    wrong = warc.audit(*found)
+    return found[0].join(wrong, ["file", "offset"], "left").select(
+        F.col("key").alias("page_id"), F.col("file").cast("long").alias("file"), "ordinal", "offset", "length", "digest", F.coalesce("status", F.lit("intact")).alias("status")
+    )
+
+
 def op7_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    folder = dac.new_folder(spark)
+    folder = new_folder(spark, "dac")
     manifest = dac.write(docs, _vocabulary("word_bpe_49k.json"), folder, end_id=2)
     return dac.with_crc(dac.read(spark, folder, manifest)).withColumnRenamed("key", "doc_id")
 
@@ -57,7 +84,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
     "op3_sharding": op3_sharding,
+    "op5_warc": op5_warc,
     "op4_bpe": op4_bpe,
     "op7_token_codes": op7_token_codes,
     "op10_quality": op10_quality,

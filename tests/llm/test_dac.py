@@ -6,6 +6,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from qualigraph.llm import dac
+from qualigraph.llm.common import new_folder
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -31,7 +32,7 @@ def test_round_trip_against_the_library(spark, file_ids):
     texts = ["Hello  World!", None, "", "  \n", "a <|endoftext|> B<|startoftext|>c", "héé İ ΑΣ ς", "é x y 　z", "w" * 3000, "The same. " * 500, "a b"]
     rows = [((i * 7) % 11, t, "x") for i, t in enumerate(texts)] + [(None, "null key", "x"), (3, "again", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string").repartition(4)
-    folder = dac.new_folder(spark)
+    folder = new_folder(spark, "dac")
     got = dac.read(spark, folder, dac.write(df, PATH, folder, 2, partitions=3, file_ids=file_ids))
     tok = Tokenizer.from_file(PATH)
     start = 0
@@ -45,6 +46,6 @@ def test_round_trip_against_the_library(spark, file_ids):
 
 
 def test_empty_table(spark):
-    folder = dac.new_folder(spark)
+    folder = new_folder(spark, "dac")
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert dac.with_crc(dac.read(spark, folder, dac.write(empty, PATH, folder, 2))).count() == 0
