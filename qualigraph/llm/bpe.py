@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -146,8 +147,8 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", bu
     as the library does by default. Both passes have to meet the same rows in the same tasks,
     as they do when `df` only reads files; whatever else is cut by a checkpoint first.
     """
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    if not df.inputFiles() or any(x in plan for x in ("Exchange", "Python", "Pandas", "Arrow", "InMemory")):
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if not all(re.match(r"[\s:+-]*(Project|Filter|Relation)\b", line) for line in plan.strip().splitlines()):
         df = cut(df)
     spark = df.sparkSession
     buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
