@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qualigraph.llm import bpe, dac, packing, quality, sharding, warc
+from qualigraph.llm import bpe, dac, jaccard, packing, quality, sharding, warc
 from qualigraph.llm.common import cut, new_folder, table
 
 
@@ -60,6 +60,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     folder = new_folder(spark, "dac")
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op5_warc": op5_warc,
     "op4_bpe": op4_bpe,
+    "op6_jaccard": op6_jaccard,
     "op7_token_codes": op7_token_codes,
     "op10_quality": op10_quality,
 }
