@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -62,7 +63,7 @@ def encode_words(path: str, words: list[str], step: int = 5000) -> tuple[np.ndar
     for i in range(0, len(words), step):
         found = [x.ids for x in tok.encode_batch_fast(words[i : i + step], add_special_tokens=False)]
         counts.extend(map(len, found))
-        flat.append(np.fromiter((y for x in found for y in x), np.int32))
+        flat.append(np.array(list(itertools.chain.from_iterable(found)), np.int32))
     return (np.concatenate(flat) if flat else np.zeros(0, np.int32)), np.array(counts, np.int64)
 
 

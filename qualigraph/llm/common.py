@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,3 +64,14 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     store.mkdirs(path)
     uri = store.makeQualified(path).toString()
     return "file://" + uri.removeprefix("file:") if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int, size: int = 24 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of `size` bytes of a text column at most, or one row."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends, at = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]), 0
+        while at < batch.num_rows:
+            upto = max(at + 1, int(np.searchsorted(ends, ends[at] + size, "right")) - 1)
+            yield batch.slice(at, upto - at)
+            at = upto

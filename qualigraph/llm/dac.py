@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from qualigraph.llm.bpe import encode_words, take_lists
-from qualigraph.llm.common import cut, text_or_empty
+from qualigraph.llm.common import cut, slices, text_or_empty
 
 MAGIC = b"QGDAC001"
 CHUNK_BITS = 8
@@ -129,31 +129,56 @@ class Codes:
         return self.take(int(self.starts[number]), int(self.starts[number + 1]))
 
 
-@functools.lru_cache(maxsize=2)
-def _memo(path: str) -> tuple[dict[str, int], list[bytes]]:
-    return {}, []
+class _Memo:
+    """Ids of the words a worker has met, as lists end to end."""
+
+    def __init__(self, path: str):
+        self.path, self.known = path, {}
+        self.flat, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+        self.lists(["", ".", ","])  # 0, 1 and 2 from now on
+
+    def lists(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(flat, starts, number of each word's list); words are distinct."""
+        at = np.fromiter((self.known.get(w, -1) for w in words), np.int64, len(words))
+        missing = np.flatnonzero(at < 0)
+        if not len(missing):
+            return self.flat, self.starts, at
+        new = [words[i] for i in missing]
+        more, counts = encode_words(self.path, new)
+        flat, starts = np.concatenate([self.flat, more]), np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
+        at[missing] = np.arange(len(self.known), len(self.known) + len(new))
+        if room := max(0, MEMO_WORDS - len(self.known)):
+            self.known.update(zip(new[:room], range(len(self.known), MEMO_WORDS), strict=False))
+            self.flat, self.starts = flat[: starts[len(self.known)]].copy(), starts[: len(self.known) + 1].copy()
+        return flat, starts, at
+
+
+_memo = functools.lru_cache(maxsize=2)(_Memo)
+
+#: Letters in every version of Unicode; a full stop or comma after one is a word of its own.
+LETTER_AND_STOP = "[a-zß-öø-ſ][.,]$"
 
 
 def _encode_batch(path: str, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and their numbers: words between white space are encoded apart, once a batch."""
-    lists = pc.ascii_split_whitespace(texts)
+    """Ids and their numbers: words between white space are encoded apart, once a batch.
+
+    Case is lost in this vocabulary and a stop after a letter is cut off by its own rules, so
+    lower-case words without stops stand for all. Words that may hold special tokens are
+    left as they are.
+    """
+    lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
     flat = lists.flatten()
     coded = (flat.combine_chunks() if isinstance(flat, pa.ChunkedArray) else flat).dictionary_encode()
-    words = coded.dictionary.to_pylist()
-    known, kept = _memo(path)
-    new = [w for w in words if w not in known]
-    fresh, counts = encode_words(path, new)
-    ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-    of_new = {w: i for i, w in enumerate(new)}
-    parts = [kept[known[w]] if w in known else fresh[ends[of_new[w]] : ends[of_new[w] + 1]].tobytes() for w in words]
-    for w, p in zip(words, parts, strict=True):
-        if len(known) >= MEMO_WORDS:
-            break
-        if w not in known and len(w) <= 40:
-            known[w] = len(kept)
-            kept.append(p)
-    table = np.frombuffer(b"".join(parts), np.int32)
-    starts = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int64)
+    words = coded.dictionary
+    words = pc.if_else(pc.match_substring(words, "<|"), words, pc.ascii_lower(words))
+    stopped = pc.match_substring_regex(words, LETTER_AND_STOP)
+    bases = pc.if_else(stopped, pc.utf8_slice_codeunits(words, 0, -1), words).dictionary_encode()
+    listed, starts, at = _memo(path).lists(bases.dictionary.to_pylist())
+    cut_off = np.where(stopped.to_numpy(zero_copy_only=False), np.where(pc.ends_with(words, ".").to_numpy(zero_copy_only=False), 1, 2), 0)
+    two = np.stack([at[bases.indices.to_numpy()], cut_off], 1)
+    table, counts = take_lists(listed, starts, two.reshape(-1))
+    starts = np.concatenate([[0], np.cumsum(counts.reshape(-1, 2).sum(1))])
     lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     ids, per_word = take_lists(table, starts, coded.indices.to_numpy().astype(np.int64))
     upto = np.concatenate([[0], np.cumsum(per_word)])[np.concatenate([[0], np.cumsum(lengths)])]
@@ -192,7 +217,7 @@ def write(df: DataFrame, path: str, folder: str, end_id: int, key: str = "doc_id
             number, held = number + 1, []
             return row
 
-        for batch in batches:
+        for batch in slices(batches, 1):
             ids, counts = _encode_batch(path, batch.column(1), end_id)
             keys, ends, first = batch.column(0).to_pylist(), np.concatenate([[0], np.cumsum(counts)]), 0
             while first < len(keys):

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qualigraph.llm.common import cut, text_or_empty
+from qualigraph.llm.common import cut, slices, text_or_empty
 from qualigraph.llm.components import components
 
 WIDTH = 5
@@ -106,7 +106,7 @@ def near(shared, n, m, percent: int = PERCENT):
 
 def _sets(docs: DataFrame, hot: np.ndarray, width: int, percent: int) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             sets = shingle_sets(batch.column(1), hot, width)
             first = [s[: prefix_length(len(s), percent)].view(np.int64) for s in sets]
             ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in first])]), pa.int32())
@@ -149,7 +149,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, hot: np.ndarray, width: int, perc
     both = pairs.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("left")), "a").join(texts.select(F.col("doc").alias("b"), F.col("text").alias("right")), "b")
 
     def each(batches):
-        for batch in batches:
+        for batch in slices(slices(batches, 2), 3):
             left, right = (shingle_sets(batch.column(i), hot, width) for i in (2, 3))
             keep = [near(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent) for x, y in zip(left, right, strict=True)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))

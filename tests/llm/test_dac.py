@@ -29,7 +29,7 @@ def test_wrong_file():
 
 @pytest.mark.parametrize("file_ids", [5, 4_000_000])
 def test_round_trip_against_the_library(spark, file_ids):
-    texts = ["Hello  World!", None, "", "  \n", "a <|endoftext|> B<|startoftext|>c", "héé İ ΑΣ ς", "é x y 　z", "w" * 3000, "The same. " * 500, "a b"]
+    texts = ["Hello  World!", None, "", "  \n", "a <|endoftext|> B<|startoftext|>c <|ENDOFTEXT|> É. ß, a., x.. Ÿ. ª. 3. '. don't.", "héé İ ΑΣ ς", "é x y 　z", "w" * 3000, "The same. " * 500, "a b"]
     rows = [((i * 7) % 11, t, "x") for i, t in enumerate(texts)] + [(None, "null key", "x"), (3, "again", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string").repartition(4)
     folder = new_folder(spark, "dac")
