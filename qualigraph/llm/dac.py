@@ -41,6 +41,8 @@ from qualigraph.llm.common import cut, slices, text_or_empty
 MAGIC = b"QGDAC001"
 CHUNK_BITS = 8
 FILE_IDS = 4_000_000
+#: Bytes of text encoded at once; the positions of their ids take some thirty times that.
+BATCH_BYTES = 6 << 20
 #: Words whose ids a worker remembers between batches.
 MEMO_WORDS = 400_000
 _NULL = -(1 << 63)
@@ -217,7 +219,7 @@ def write(df: DataFrame, path: str, folder: str, end_id: int, key: str = "doc_id
             number, held = number + 1, []
             return row
 
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, BATCH_BYTES):
             ids, counts = _encode_batch(path, batch.column(1), end_id)
             keys, ends, first = batch.column(0).to_pylist(), np.concatenate([[0], np.cumsum(counts)]), 0
             while first < len(keys):
