@@ -34,6 +34,7 @@ from qualigraph.llm.common import cut
 FILE_BYTES = 64 << 20
 RANGE_BYTES = 64 << 10
 FANOUT = 16
+DEPTH = 4
 MAGIC = b"\x1f\x8b\x08"
 
 
@@ -155,22 +156,24 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     return found.join(manifest.select("file", "path"), "path").select("file", "content").mapInArrow(each, RECORD)
 
 
-def tree(rows: DataFrame, range_bytes: int = RANGE_BYTES, fanout: int = FANOUT, depth: int = 4) -> list[DataFrame]:
-    """Nodes of each level, records first, the file's root last: (file, node, hash)."""
-    nodes = rows.select("file", F.floor(F.col("offset") / range_bytes).alias("node"), F.col("offset").alias("at"), F.concat_ws(":", F.col("offset").cast("string"), F.col("length").cast("string"), "digest").alias("hash"))
-    levels = [rows.select("file", F.floor(F.col("offset") / range_bytes).alias("parent"), F.col("offset").alias("node"), F.concat_ws(":", F.col("offset").cast("string"), F.col("length").cast("string"), "digest").alias("hash"))]
-    for level in range(1, depth + 1):
-        joined = F.concat_ws("\n", F.transform(F.sort_array(F.collect_list(F.struct("at", "hash"))), lambda x: x["hash"]))
-        grouped = nodes.groupBy("file", "node").agg(F.sha2(joined.cast("binary"), 256).alias("hash"))
-        above = F.floor(F.col("node") / fanout) if level < depth else F.lit(0).cast("long")
-        levels.append(grouped.select("file", above.alias("parent"), "node", "hash"))
-        nodes = grouped.select("file", above.alias("node"), F.col("node").alias("at"), "hash")
-    joined = F.concat_ws("\n", F.transform(F.sort_array(F.collect_list(F.struct("at", "hash"))), lambda x: x["hash"]))
-    levels.append(nodes.groupBy("file").agg(F.sha2(joined.cast("binary"), 256).alias("hash")).select("file", F.lit(0).cast("long").alias("parent"), F.lit(0).cast("long").alias("node"), "hash"))
-    return levels
+def tree(rows: DataFrame, range_bytes: int = RANGE_BYTES, fanout: int = FANOUT, depth: int = DEPTH) -> DataFrame:
+    """All nodes as (file, level, parent, node, hash); level 0 are records, depth + 1 the file's root.
 
-
-def audit(primary: DataFrame, replica: DataFrame, range_bytes: int = RANGE_BYTES, fanout: int = FANOUT, depth: int = 4) -> DataFrame:
+    The table is cut from its lineage, so an audit's joins read it and don't build it again.
+    """
+    mark = F.concat_ws(":", F.col("offset").cast("string"), F.col("length").cast("string"), "digest")
+    nodes = rows.select("file", F.lit(0).alias("level"), F.floor(F.col("offset") / range_bytes).alias("parent"), F.col("offset").alias("node"), mark.alias("hash"))
+    joined = F.concat_ws("\n", F.transform(F.sort_array(F.collect_list(F.struct("node", "hash"))), lambda x: x["hash"]))
+    found, below = nodes, nodes
+    for level in range(1, depth + 2):
+        above = F.floor(F.col("parent") / fanout) if level < depth else F.lit(0).cast("long")
+        grouped = below.groupBy("file", "parent").agg(F.sha2(joined.cast("binary"), 256).alias("hash"))
+        below = cut(grouped.select("file", F.lit(level).alias("level"), above.alias("up"), F.col("parent").alias("node"), "hash").withColumnRenamed("up", "parent"))
+        found = found.unionByName(below)
+    return cut(found)
+
+
+def audit(primary: DataFrame, replica: DataFrame, range_bytes: int = RANGE_BYTES, fanout: int = FANOUT, depth: int = DEPTH) -> DataFrame:
     """Records that differ between two replicas: file, offset, status (damaged, missing, extra).
 
     `primary` and `replica` are rows of `read`. From the root down, nodes are joined with the
@@ -178,11 +181,12 @@ def audit(primary: DataFrame, replica: DataFrame, range_bytes: int = RANGE_BYTES
     """
     ours, theirs = tree(primary, range_bytes, fanout, depth), tree(replica, range_bytes, fanout, depth)
     wrong = None
-    for mine, other in zip(reversed(ours), reversed(theirs), strict=True):
+    for level in range(depth + 1, -1, -1):
+        mine, other = (t.where(F.col("level") == level) for t in (ours, theirs))
         if wrong is not None:
             mine, other = mine.join(wrong, ["file", "parent"], "left_semi"), other.join(wrong, ["file", "parent"], "left_semi")
         both = mine.select("file", "node", F.col("hash").alias("mine")).join(other.select("file", "node", F.col("hash").alias("other")), ["file", "node"], "full_outer")
-        differing = both.where(~F.col("mine").eqNullSafe(F.col("other")))
+        differing = cut(both.where(~F.col("mine").eqNullSafe(F.col("other"))))
         wrong = differing.select("file", F.col("node").alias("parent"))
     status = F.when(F.col("other").isNull(), "missing").when(F.col("mine").isNull(), "extra").otherwise("damaged")
     return differing.select("file", F.col("node").alias("offset"), status.alias("status"))
