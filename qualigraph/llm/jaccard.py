@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qualigraph.llm.common import cut, slices, text_or_empty
+from qualigraph.llm.common import cut, free, slices, text_or_empty
 from qualigraph.llm.components import components
 
 WIDTH = 5
@@ -47,7 +47,7 @@ HOT = 1 << 17
 HOT_FROM = 64
 REGION = 4096
 #: Share of a document's first shingles that makes a pivot worth an exact comparison at once.
-LIKELY = 0.3
+LIKELY = 0.5
 _TOP = np.uint64(1 << 63)
 
 
@@ -180,7 +180,7 @@ def _groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Table]
 def can_be_near(sets: list[np.ndarray], n: np.ndarray, component: np.ndarray, side: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Members with a partner of another component that a lower bound doesn't exclude.
 
-    `sets` are the first shingles in the global order. Of two sets, all shingles up to the
+    `sets` are the upper halves of the first shingles' keys, in the global order. Of two sets, all shingles up to the
     smaller of their last known ones are known; those that one alone has count as differing. Sides 0 and 1 are
     two blocks that meet; 2 is a block with itself.
     """
@@ -304,13 +304,21 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     """(key, n_shingles, component_id), one row for each row of `df`."""
     docs = df.select(F.col(key).cast("long").alias("doc"), text_or_empty(text).alias("text"))
     hot = hot_shingles(docs, width, percent)
+    free(df.sparkSession)
     sets = cut(_sets(docs, hot, width, percent))
     known = sets.where(F.col("doc").isNotNull() & F.col("content").isNotNull())
     one = cut(known.groupBy("content").agg(F.min(F.struct("doc", "n", "first")).alias("r")).select("content", "r.*"))
+    sets = cut(sets.select("doc", "n", "content"))
+    del known
+    free(df.sparkSession)
 
     each = one.select("doc", F.explode("first").alias("s"), F.size("first").alias("length"))
     pivots = each.groupBy("s").agg(F.min("doc").alias("pivot"), F.count("*").alias("members")).where("members > 1").select("s", "pivot")
     member = cut(each.join(pivots, "s").groupBy("doc", "pivot").agg(F.count("*").alias("shared"), F.first("length").alias("length")))
+    # the upper halves of the keys keep the order and can only hide differences: the bound still holds
+    one = cut(one.select("content", "doc", "n", F.transform("first", lambda x: F.shiftright(x, 32).cast("int")).alias("first")))
+    del each, pivots
+    free(df.sparkSession)
 
     others = member.where("doc != pivot")
     best = others.groupBy("doc").agg(F.max(F.struct("shared", (-F.col("pivot")).alias("back"), "length")).alias("best"))
@@ -338,11 +346,12 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
             if region.num_rows < 2:
                 continue
             region = region.combine_chunks()
-            first = [x.values.to_numpy().view(np.uint64) for x in region["first"]]
+            first = [x.values.to_numpy().view(np.uint32) for x in region["first"]]
             keep = can_be_near(first, region["n"].to_numpy(), region["component"].to_numpy(), region["side"].to_numpy(), percent)
             yield from region.select(["pivot", "i", "j", "doc", "component"]).filter(pa.array(keep)).to_batches()
 
     left = cut(sketched.repartition(parts, *where).sortWithinPartitions(*where).mapInArrow(filtered, "pivot long, i int, j int, doc long, component long"))
+    free(df.sparkSession)
     texts = some_of(docs, left.select("doc"))
 
     def joined(batches):
