@@ -80,5 +80,6 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, size: int = 24 << 20)
         ends, at = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]), 0
         while at < batch.num_rows:
             upto = max(at + 1, int(np.searchsorted(ends, ends[at] + size, "right")) - 1)
-            yield batch.slice(at, upto - at)
+            # a copy: not all Arrow kernels read slices rightly
+            yield batch if upto - at == batch.num_rows else batch.take(pa.array(np.arange(at, upto)))
             at = upto

@@ -59,10 +59,11 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: pa.Array, hot: np.ndarray, width: int = WIDTH) -> list[np.ndarray]:
     """A sorted array of unsigned keys for each text; hot shingles have the top bit and so come last."""
-    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts.cast(pa.large_string()))))
+    # case is folded on the distinct words: the kernels that change case misread slices of arrays
+    lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
     flat = lists.flatten()
     coded = (flat.combine_chunks() if isinstance(flat, pa.ChunkedArray) else flat).dictionary_encode()
-    words = coded.dictionary.to_pylist()
+    words = pc.ascii_lower(coded.dictionary).to_pylist()
     hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))[coded.indices.to_numpy()] if words else np.zeros(0, np.uint64)
     empty = words.index("") if "" in words else -1
     ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)

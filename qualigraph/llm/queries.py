@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qualigraph.llm import bpe, dac, jaccard, packing, quality, sharding, suffix, warc
+from qualigraph.llm import bpe, collisions, dac, jaccard, packing, quality, sharding, suffix, warc
 from qualigraph.llm.common import cut, new_folder, table
 
 
@@ -76,6 +76,10 @@ def op7_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.with_crc(dac.read(spark, folder, manifest)).withColumnRenamed("key", "doc_id")
 
 
+def op9_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collisions.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     q = F.col("_quality")
@@ -100,5 +104,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": op4_bpe,
     "op6_jaccard": op6_jaccard,
     "op7_token_codes": op7_token_codes,
+    "op9_collisions": op9_collisions,
     "op10_quality": op10_quality,
 }

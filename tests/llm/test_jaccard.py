@@ -115,3 +115,12 @@ def test_components(spark):
                 seen.add(y), todo.append(y)
         assert got[x] == min(seen)
     assert set(got) == set(reach)
+
+
+def test_shingles_of_a_slice():
+    import pyarrow as pa
+
+    texts = pa.array([f"ÉA b{i} Cd é d e f {i}" for i in range(20)])
+    whole = jaccard.shingle_sets(texts, np.zeros(0, np.uint64))
+    part = jaccard.shingle_sets(texts.slice(7, 5), np.zeros(0, np.uint64))
+    assert [x.tolist() for x in part] == [x.tolist() for x in whole[7:12]]
