@@ -127,20 +127,21 @@ def hot_shingles(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     return np.sort(np.array([r["s"] for r in top.select("s").collect()], np.int64).view(np.uint64))
 
 
-BITMAP_BITS = 1 << 22
+def marked(df: DataFrame, values: DataFrame, name: str, bits: int) -> DataFrame:
+    """The rows of `df` whose `name` may be among those of `values`.
 
+    A bitmap of `bits` bits, bits / 64 rows at most, is broadcast; it drops most other rows
+    before an exact join shuffles them.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    words = values.select(bit(F.col(name)).alias("bit")).groupBy(F.shiftright("bit", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("_marks"))
+    met = df.withColumn("_bit", bit(F.col(name))).withColumn("_word", F.shiftright("_bit", 6)).join(F.broadcast(words), "_word")
+    return met.where(F.expr("(shiftrightunsigned(_marks, cast(_bit & 63 as int)) & 1) = 1")).drop("_bit", "_word", "_marks")
 
-def some_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of `docs` whose `doc` is in `ids` (column doc), few of them shuffled in vain.
 
-    A bitmap of a fixed number of bits, at most 65,536 rows, is broadcast and drops most
-    other rows before the exact join.
-    """
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP_BITS))
-    marks = ids.select(bit(F.col("doc")).alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("marks"))
-    own = bit(F.col("doc"))
-    met = docs.withColumn("word", F.shiftright(own, 6)).join(F.broadcast(marks), "word").where(F.expr(f"shiftrightunsigned(marks, cast(pmod(xxhash64(doc), {BITMAP_BITS}) & 63 as int)) & 1 = 1"))
-    return met.drop("word", "marks").join(ids.select("doc").distinct(), "doc", "left_semi")
+def some_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of `docs` whose `doc` is in `ids` (column doc)."""
+    return marked(docs, ids, "doc", 1 << 22).join(ids.select("doc").distinct(), "doc", "left_semi")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, hot: np.ndarray, width: int, percent: int) -> DataFrame:
@@ -315,7 +316,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
 
     each = one.select("doc", F.explode("first").alias("s"), F.size("first").alias("length"))
     pivots = each.groupBy("s").agg(F.min("doc").alias("pivot"), F.count("*").alias("members")).where("members > 1").select("s", "pivot")
-    member = cut(each.join(pivots, "s").groupBy("doc", "pivot").agg(F.count("*").alias("shared"), F.first("length").alias("length")))
+    pivots = cut(pivots)
+    member = cut(marked(each, pivots, "s", 1 << 25).join(pivots, "s").groupBy("doc", "pivot").agg(F.count("*").alias("shared"), F.first("length").alias("length")))
     # the upper halves of the keys keep the order and can only hide differences: the bound still holds
     one = cut(one.select("content", "doc", "n", F.transform("first", lambda x: F.shiftright(x, 32).cast("int")).alias("first")))
     del each, pivots

@@ -17,7 +17,7 @@ key, or same document and earlier start). Strings are judged on the input.
    all but the first are removed.
 4. Removed ranges go back to their documents.
 
-Batches of step 3 hold `BATCH` strings. An anchor with more different contexts than that (a passage's edge in
+Batches of step 3 hold `BATCH` strings. An anchor with more different contexts than `HOT` (a passage's edge in
 many documents) is cut into its windows, which collapse by a 128-bit hash with partial minima
 instead: no group is gathered in one task, whatever its size.
 
@@ -28,6 +28,7 @@ one document and get one result. Extra columns are not carried by `spans`. Empty
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 from collections.abc import Iterator
@@ -44,11 +45,14 @@ from qualigraph.llm.common import cut, slices, text_or_empty
 from qualigraph.llm.jaccard import _groups
 
 LENGTH = 100
-GRAM = 12
-BATCH = 20_000
+#: A multiple of eight, long enough that unrelated texts rarely share one.
+GRAM = 32
+BATCH = 60_000
+#: Different contexts of one anchor from which they are cut into windows.
+HOT = 20_000
 BITMAP_BITS = 1 << 26
-#: Bytes handled at once; positions take 24 bits of a key.
-PIECE = 12 << 20
+#: Bytes handled at once, few enough for a processor's cache; positions take 24 bits of a key.
+PIECE = 128 << 10
 LAST_KEY = (1 << 63) - 1
 
 
@@ -61,19 +65,23 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int
     n = len(data)
     if n < length:
         return none, none, none, np.zeros(0, np.uint64)
-    padded = np.concatenate([data, np.zeros(24, np.uint8)])
-    eight = np.empty(n + 8, np.uint64)
+    padded = np.concatenate([data, np.zeros(gram + 16, np.uint8)])
+    eight = np.empty(n + gram, np.uint64)
     for j in range(8):
         part = eight[j::8]
         part[:] = padded[j : j + 8 * len(part)].view("<u8")
     h = eight[:n] * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(29)
-    tail = eight[gram - 8 : gram - 8 + n] if gram <= 16 else eight[8 : 8 + n]
-    h += tail * np.uint64(0xC2B2AE3D27D4EB4F)
-    h ^= h >> np.uint64(32)
+    part = np.empty(n, np.uint64)
+    for j in range(8, gram, 8):
+        np.multiply(eight[j : j + n], np.uint64((0xC2B2AE3D27D4EB4F * (2 * j + 1)) & ((1 << 64) - 1)), out=part)
+        h += part
+    np.right_shift(h, np.uint64(32), out=part)
+    h ^= part
     h *= np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(32)
-    least = (h & np.uint64(~((1 << 24) - 1) & (1 << 64) - 1)) | np.arange(n, dtype=np.uint64)
+    np.right_shift(h, np.uint64(32), out=part)
+    h ^= part
+    least = np.bitwise_and(h, np.uint64(~((1 << 24) - 1) & (1 << 64) - 1), out=part)
+    least |= np.arange(n, dtype=np.uint64)
     width = length - gram + 1
     reach = 1
     while reach * 2 <= width:
@@ -82,9 +90,10 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int
     if rest := width - reach:
         least = np.minimum(least[: len(least) - rest], least[rest:])
     at = (least & np.uint64((1 << 24) - 1)).astype(np.int64)[: n - length + 1]
-    starts = np.arange(len(at))
-    doc = np.searchsorted(ends, starts, "right") - 1
-    inside = starts + length <= ends[doc + 1]
+    doc = np.repeat(np.arange(len(ends) - 1), np.diff(ends))[: len(at)]
+    inside = np.ones(len(at), bool)
+    for end in ends[1:-1].tolist():  # windows that would leave their document
+        inside[max(0, end - length + 1) : end] = False
     new = np.ones(len(at), bool)
     new[1:] = (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(new & inside)
@@ -102,7 +111,7 @@ def pieces(batches: Iterator[pa.RecordBatch], piece: int = PIECE, length: int =
         data = np.concatenate(parts) if parts else np.zeros(0, np.uint8)
         return keys, data, np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64), np.array(shifts, np.int64)
 
-    for batch in slices(batches, 2, piece):
+    for batch in slices(batches, 2):
         texts = batch.column(2).cast(pa.large_binary())
         bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         raw = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] else np.zeros(0, np.uint8)
@@ -121,26 +130,36 @@ def pieces(batches: Iterator[pa.RecordBatch], piece: int = PIECE, length: int =
 
 
 class Files:
-    """Transform and common prefixes of the suffixes of each first symbol, a file for each."""
+    """Transform and common prefixes of the suffixes of each first symbol, a file for each.
+
+    A file is read whole and written whole in place, front to back; `folder` None keeps the
+    same bytes in memory.
+    """
 
     def __init__(self, symbols: int, folder: str | None):
-        self.folder, self.held = folder, {}
-        for c in range(symbols):
-            self.put(c, np.zeros(0, np.uint8), np.zeros(0, np.uint8))
+        self.sizes = [0] * symbols
+        self.held = [(np.zeros(0, np.uint8),) * 2] * symbols
+        self.open = [os.open(os.path.join(folder, f"{c}"), os.O_RDWR | os.O_CREAT) for c in range(symbols)] if folder else []
 
     def get(self, c: int) -> tuple[np.ndarray, np.ndarray]:
-        if self.folder is None or not self.held[c]:
-            return self.held[c] or (np.zeros(0, np.uint8),) * 2
-        both = np.fromfile(os.path.join(self.folder, f"{c}"), np.uint8).reshape(2, -1)
-        return both[0], both[1]
+        if not self.open:
+            return self.held[c]
+        n = self.sizes[c]
+        both = np.frombuffer(os.pread(self.open[c], 2 * n, 0), np.uint8)
+        return both[:n], both[n:]
 
     def put(self, c: int, transform: np.ndarray, common: np.ndarray) -> None:
-        if self.folder is None:
+        self.sizes[c] = len(transform)
+        if not self.open:
             self.held[c] = (transform, common)
-        else:
-            self.held[c] = len(transform)
-            if len(transform):
-                np.concatenate([transform, common]).tofile(os.path.join(self.folder, f"{c}"))
+            return
+        data, at = memoryview(np.concatenate([transform, common])), 0
+        while at < len(data):
+            at += os.pwrite(self.open[c], data[at:], at)
+
+    def close(self) -> None:
+        for f in self.open:
+            os.close(f)
 
 
 def _range_min(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -153,8 +172,8 @@ def _range_min(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray
     return np.minimum.reduceat(values[index], np.concatenate([[0], ends[:-1]]))
 
 
-def equal_windows(strings: list[bytes], length: int = LENGTH, external: bool = True) -> list[np.ndarray]:
-    """Groups of suffixes with `length` common bytes, as rows (string, start).
+def equal_windows(strings: list[bytes], length: int = LENGTH, external: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group, string, start) of the suffixes that share `length` bytes with another, group by group.
 
     Column-wise construction: round j holds all suffixes of j symbols at most, in order.
     `at[i]` is the place of string i's longest suffix among those of its first symbol; the
@@ -175,8 +194,9 @@ def equal_windows(strings: list[bytes], length: int = LENGTH, external: bool = T
     own = np.repeat(np.arange(m), sizes)
     table[np.repeat(ends, sizes) - 1 - np.arange(len(raw)), own] = codes + 1
     symbols = len(used) + 1
-    with tempfile.TemporaryDirectory() if external and not wide else _nothing() as folder:
-        files = Files(symbols, folder)
+    with contextlib.ExitStack() as stack:
+        folder = stack.enter_context(tempfile.TemporaryDirectory()) if external and not wide else None
+        files = stack.enter_context(contextlib.closing(Files(symbols, folder)))
         files.put(0, table[0].copy() if longest else np.zeros(m, kind), np.zeros(m, np.uint8))
         segment, at = np.zeros(m, np.int64), np.arange(m)
         alive = np.flatnonzero(sizes > 0)
@@ -197,11 +217,11 @@ def equal_windows(strings: list[bytes], length: int = LENGTH, external: bool = T
                 mine = order_of[cuts[d] : cuts[d + 1]]
                 if len(mine):
                     order = np.argsort(transform, kind="stable")
-                    inverse = np.empty(len(order), np.int64)
-                    inverse[order] = np.arange(len(order))
+                    inverse = np.empty(len(order), np.int32)
+                    inverse[order] = np.arange(len(order), dtype=np.int32)
                     first = np.concatenate([[0], np.cumsum(counts)])
                     p, c = at[alive[mine]], symbol[mine]
-                    rank = inverse[p]
+                    rank = inverse[p].astype(np.int64)
                     place[mine] = seen[c] + rank - first[c]
                     has = rank > first[c]  # the same symbol above, among suffixes that begin alike
                     before[mine[has]] = _range_min(common, order[rank[has] - 1] + 1, p[has]) + 1
@@ -232,25 +252,18 @@ def equal_windows(strings: list[bytes], length: int = LENGTH, external: bool = T
         return _read_out(files, symbols, m, sizes, length, kind)
 
 
-class _nothing:
-    def __enter__(self):
-        return None
-
-    def __exit__(self, *_):
-        return None
-
-
-def _read_out(files: Files, symbols: int, m: int, sizes: np.ndarray, length: int, kind) -> list[np.ndarray]:
+def _read_out(files: Files, symbols: int, m: int, sizes: np.ndarray, length: int, kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Follow every string through the finished transform to name its suffixes."""
     both = [files.get(c) for c in range(symbols)]
     transform = np.concatenate([b[0].astype(kind) for b in both])
     common = np.concatenate([b[1] for b in both])
     order = np.argsort(transform, kind="stable")
-    down = np.empty(len(order), np.int64)
-    down[order] = np.arange(len(order))
+    down = np.empty(len(order), np.int32)
+    down[order] = np.arange(len(order), dtype=np.int32)
+    del order
     # ends of strings sort first among suffixes but their symbols stand where strings begin
     down += m - int(np.count_nonzero(transform == 0))
-    who, start = np.full(len(transform), -1, np.int64), np.zeros(len(transform), np.int64)
+    who, start = np.full(len(transform), -1, np.int32), np.zeros(len(transform), np.uint8)
     at, alive = np.arange(m), np.arange(m)
     for j in range(int(sizes.max(initial=0)) + 1):
         alive = alive[sizes[alive] >= j]
@@ -258,8 +271,9 @@ def _read_out(files: Files, symbols: int, m: int, sizes: np.ndarray, length: int
         alive = alive[sizes[alive] > j]
         at[alive] = down[at[alive]]
     long = common >= length
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], long.astype(np.int8), [0]])))
-    return [np.stack([who[a - 1 : b], start[a - 1 : b]], 1) for a, b in zip(edges[::2], edges[1::2], strict=True)]
+    member = long.copy()
+    member[:-1] |= long[1:]
+    return np.cumsum(~long)[member], who[member].astype(np.int64), start[member].astype(np.int64)
 
 
 def _ranges(doc, salt, start) -> tuple[list, list, np.ndarray, np.ndarray]:
@@ -285,7 +299,7 @@ def _range_batch(doc, salt, start, n) -> pa.RecordBatch:
 def duplicate_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc, salt, start, n): the starts whose window of `length` bytes has an earlier equal. `docs`: doc, salt, text."""
     spark = docs.sparkSession
-    parts, piece, batch_size = int(spark.conf.get("spark.sql.shuffle.partitions")), PIECE, BATCH
+    parts, piece, batch_size, hot = int(spark.conf.get("spark.sql.shuffle.partitions")), PIECE, BATCH, HOT
 
     def counted(batches):
         for _, data, ends, _ in pieces(batches, piece, length):
@@ -308,6 +322,13 @@ def duplicate_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             for i, key in enumerate(zip(doc.tolist(), names, strict=True)):
                 again[i] = key in local
                 local.add(key)
+            # adjacent repeats within a document are one range
+            joins = np.zeros(len(again), bool)
+            joins[1:] = again[1:] & again[:-1] & (doc[1:] == doc[:-1]) & (first[1:] == first[:-1] + n[:-1])
+            head = np.flatnonzero(~joins)
+            n = np.add.reduceat(n, head) if len(head) else n
+            doc, first, h, again = doc[head], first[head], h[head], again[head]
+            names = [None if a else names[i] for i, a in zip(head.tolist(), again.tolist(), strict=True)]
             owner = np.array([k[0] for k in keys], np.int64)[doc] if len(doc) else doc
             salt = np.array([k[1] for k in keys], np.int64)[doc] if len(doc) else doc
             at = first - ends[doc] + shifts[doc] if len(doc) else first
@@ -326,7 +347,7 @@ def duplicate_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     groups = one.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
     different = cut(one.join(groups, "anchor").select("anchor", "kinds", "place.*", "n"))
-    by_doc = different.groupBy("doc", "salt").agg(F.collect_list(F.struct("anchor", "start", "n", (F.col("kinds") > batch_size).alias("hot"))).alias("wanted"))
+    by_doc = different.groupBy("doc", "salt").agg(F.collect_list(F.struct("anchor", "start", "n", (F.col("kinds") > hot).alias("hot"))).alias("wanted"))
     met = docs.join(by_doc, ["doc", "salt"]).select("doc", "salt", F.col("text").cast("binary").alias("text"), "wanted")
 
     def strings(batches):
@@ -344,7 +365,9 @@ def duplicate_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)] if rows else [pa.array([], t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())], ["anchor", "hot", "doc", "salt", "start", "body"])
 
     shape = "anchor long, hot boolean, doc long, salt long, start long, body binary"
-    has_hot = not different.where(F.col("kinds") > batch_size).isEmpty()
+    # few large constructions: the rounds of one cost the same whatever it holds
+    tasks = max(min(parts, 6), -(-different.count() // batch_size))
+    has_hot = not different.where(F.col("kinds") > hot).isEmpty()
     fetched = met.mapInArrow(strings, shape)
     if has_hot:
         fetched = cut(fetched)
@@ -361,16 +384,13 @@ def duplicate_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def solve(table: pa.Table) -> pa.RecordBatch:
         doc, salt, start = (table[c].to_numpy() for c in ("doc", "salt", "start"))
-        found = equal_windows(table["body"].to_pylist(), length)
-        lost = []
-        for group in found:
-            who, at = group[:, 0], group[:, 1]
-            place = np.lexsort((start[who] + at, salt[who], doc[who]))
-            lost.append(group[place[1:]])
-        lost = np.concatenate(lost) if lost else np.zeros((0, 2), np.int64)
-        return _range_batch(*_ranges(doc[lost[:, 0]], salt[lost[:, 0]], start[lost[:, 0]] + lost[:, 1]))
-
-    cold = fetched.where("not hot").select("anchor", "doc", "salt", "start", "body").repartition(parts, "anchor").sortWithinPartitions("anchor")
+        group, who, at = equal_windows(table["body"].to_pylist(), length)
+        order = np.lexsort((start[who] + at, salt[who], doc[who], group))
+        later = order[1:][group[order[1:]] == group[order[:-1]]]  # all but the first of each group
+        who, at = who[later], at[later]
+        return _range_batch(*_ranges(doc[who], salt[who], start[who] + at))
+
+    cold = fetched.where("not hot").select("anchor", "doc", "salt", "start", "body").repartition(tasks, "anchor").sortWithinPartitions("anchor")
     removed = removed.union(cold.mapInArrow(construct, _RANGE))
     if has_hot:
         windows = fetched.where("hot").select("body", "doc", "salt", "start")

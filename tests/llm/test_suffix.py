@@ -40,8 +40,10 @@ def test_equal_windows(seed, external):
     for i, s in enumerate(strings):
         for p in range(len(s) - length + 1):
             want[s[p : p + length]].add((i, p))
-    got = {frozenset(map(tuple, g.tolist())) for g in suffix.equal_windows(strings, length, external)}
-    assert got == {frozenset(g) for g in want.values() if len(g) > 1}
+    got = defaultdict(set)
+    for g, i, p in zip(*(x.tolist() for x in suffix.equal_windows(strings, length, external)), strict=True):
+        got[g].add((i, p))
+    assert set(map(frozenset, got.values())) == {frozenset(g) for g in want.values() if len(g) > 1}
 
 
 def corpus(seed):
@@ -65,9 +67,10 @@ def corpus(seed):
     return list(zip(keys, out, strict=True))
 
 
-@pytest.mark.parametrize("seed,batch,piece", [(0, 20_000, 12 << 20), (1, 3, 12 << 20), (2, 20_000, 300)])
+@pytest.mark.parametrize("seed,batch,piece", [(0, 60_000, 128 << 10), (1, 3, 128 << 10), (2, 60_000, 300)])
 def test_against_brute_force(spark, monkeypatch, seed, batch, piece):
     monkeypatch.setattr(suffix, "BATCH", batch)
+    monkeypatch.setattr(suffix, "HOT", batch)
     monkeypatch.setattr(suffix, "PIECE", piece)
     rows = corpus(seed)
     df = spark.createDataFrame([(k, t, 1, "x") for k, t in rows], "doc_id long, text string, n int, salt string").repartition(4)
