@@ -40,11 +40,11 @@ from qualigraph.llm.common import cut, slices, text_or_empty
 
 MAGIC = b"QGDAC001"
 CHUNK_BITS = 8
-FILE_IDS = 4_000_000
+FILE_IDS = 1_000_000
 #: Bytes of text encoded at once; the positions of their ids take some thirty times that.
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 4 << 20
 #: Words whose ids a worker remembers between batches.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 _NULL = -(1 << 63)
 
 
@@ -250,7 +250,7 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
                 codes = Codes(data.as_buffer())
                 step = 0
                 while step < len(codes.keys):
-                    upto = max(step + 1, int(np.searchsorted(codes.starts, codes.starts[step] + 1_000_000, "right")) - 1)
+                    upto = max(step + 1, int(np.searchsorted(codes.starts, codes.starts[step] + 200_000, "right")) - 1)
                     first, end = int(codes.starts[step]), int(codes.starts[upto])
                     keys = codes.keys[step:upto]
                     starts = codes.starts[step : upto + 1]
