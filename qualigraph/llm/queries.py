@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qualigraph.llm import bpe, collisions, dac, jaccard, packing, quality, sharding, suffix, warc
+from qualigraph.llm import bpe, collisions, dac, jaccard, packing, pii, quality, sharding, suffix, warc
 from qualigraph.llm.common import cut, new_folder, table
 
 
@@ -76,6 +76,14 @@ def op7_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.with_crc(dac.read(spark, folder, manifest)).withColumnRenamed("key", "doc_id")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    base = F.filter("spans", lambda s: s["base"])
+    listed = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return pii.find(docs).select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def op9_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collisions.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
@@ -104,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": op4_bpe,
     "op6_jaccard": op6_jaccard,
     "op7_token_codes": op7_token_codes,
+    "op8_pii": op8_pii,
     "op9_collisions": op9_collisions,
     "op10_quality": op10_quality,
 }
