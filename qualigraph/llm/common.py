@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import tempfile
 import uuid
@@ -83,3 +84,28 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, size: int = 24 << 20)
             # a copy: not all Arrow kernels read slices rightly
             yield batch if upto - at == batch.num_rows else batch.take(pa.array(np.arange(at, upto)))
             at = upto
+
+
+def spill(df: DataFrame, kind: str) -> DataFrame:
+    """Write a large table to the shared folder as compressed Parquet and read it from there.
+
+    Smaller than a checkpoint; the files go when the driver ends.
+    """
+    spark = df.sparkSession
+    path = new_folder(spark, kind)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    _spilled.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_spilled: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _remove_spilled() -> None:
+    for spark, path in _spilled:
+        try:
+            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+        except Exception:  # the session has ended and its files with it, or the store is gone
+            return

@@ -10,7 +10,8 @@ key, or same document and earlier start). Strings are judged on the input.
    fixed size keeps most others from being shuffled at all (an exact count follows).
 2. Copies. Equal contexts collapse into their first occurrence before anything is gathered;
    the others are removed whole.
-3. Column-wise construction. Different contexts with one anchor become a collection of short
+3. Column-wise construction. Different contexts with one anchor that share enough around it
+   to hold an equal window become a collection of short
    strings. One symbol of every string is inserted each round, from the right; a round reads
    and rewrites the collection's Burrows-Wheeler transform and common-prefix file of each
    first symbol, one after the other. Suffixes with `length` common bytes are equal windows;
@@ -41,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from qualigraph.llm.common import cut, slices, text_or_empty
+from qualigraph.llm.common import cut, free, slices, spill, text_or_empty
 from qualigraph.llm.jaccard import _groups
 
 LENGTH = 100
@@ -56,15 +57,15 @@ PIECE = 128 << 10
 LAST_KEY = (1 << 63) - 1
 
 
-def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, first start, number of starts, hashed anchor) of each context.
+def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, first start, number of starts, hashed anchor, its place) of each context.
 
     `data` are documents end to end, `ends` their ends from 0; at most 2**24 bytes.
     """
     none = np.zeros(0, np.int64)
     n = len(data)
     if n < length:
-        return none, none, none, np.zeros(0, np.uint64)
+        return none, none, none, np.zeros(0, np.uint64), none
     padded = np.concatenate([data, np.zeros(gram + 16, np.uint8)])
     eight = np.empty(n + gram, np.uint64)
     for j in range(8):
@@ -100,7 +101,7 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int
     # a context ends where the next begins or where windows leave the document
     stop = np.flatnonzero(new | ~inside)
     upto = np.append(stop, len(at))[np.searchsorted(stop, first, "right")]
-    return doc[first], first, upto - first, h[at[first]]
+    return doc[first], first, upto - first, h[at[first]], at[first]
 
 
 def pieces(batches: Iterator[pa.RecordBatch], piece: int = PIECE, length: int = LENGTH) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
@@ -303,7 +304,7 @@ def duplicate_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def counted(batches):
         for _, data, ends, _ in pieces(batches, piece, length):
-            _, _, _, h = anchors(data, ends, length)
+            _, _, _, h, _ = anchors(data, ends, length)
             found, n = np.unique(h, return_counts=True)
             yield pa.record_batch([pa.array(found.view(np.int64)), pa.array(n)], ["anchor", "n"])
 
@@ -313,9 +314,9 @@ def duplicate_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def contexts(batches):
         known = np.unpackbits(marks.value).view(bool)
         for keys, data, ends, shifts in pieces(batches, piece, length):
-            doc, first, n, h = anchors(data, ends, length)
+            doc, first, n, h, at = anchors(data, ends, length)
             live = known[_bit(h)]
-            doc, first, n, h = doc[live], first[live], n[live], h[live]
+            doc, first, n, h, at = doc[live], first[live], n[live], h[live], at[live]
             raw = data.tobytes()
             names = [xxhash.xxh3_128_digest(raw[a : a + k + length - 1]) for a, k in zip(first.tolist(), n.tolist(), strict=True)]
             local, again = set(), np.zeros(len(names), bool)
@@ -329,24 +330,32 @@ def duplicate_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             n = np.add.reduceat(n, head) if len(head) else n
             doc, first, h, again = doc[head], first[head], h[head], again[head]
             names = [None if a else names[i] for i, a in zip(head.tolist(), again.tolist(), strict=True)]
+            cores = [None if a else list(_cores(raw, f, f + k + length - 1, p, length)) for f, k, p, a in zip(first.tolist(), n.tolist(), at[head].tolist(), again.tolist(), strict=True)]
             owner = np.array([k[0] for k in keys], np.int64)[doc] if len(doc) else doc
             salt = np.array([k[1] for k in keys], np.int64)[doc] if len(doc) else doc
-            at = first - ends[doc] + shifts[doc] if len(doc) else first
+            start = first - ends[doc] + shifts[doc] if len(doc) else first
             yield pa.record_batch(
-                [pa.array(h.view(np.int64)), pa.array(names, pa.binary()), pa.array(owner), pa.array(salt), pa.array(at), pa.array(n), pa.array(again)],
-                ["anchor", "name", "doc", "salt", "start", "n", "again"],
+                [pa.array(h.view(np.int64)), pa.array(names, pa.binary()), pa.array(owner), pa.array(salt), pa.array(start), pa.array(n), pa.array(again), pa.array(cores, pa.list_(pa.int64()))],
+                ["anchor", "name", "doc", "salt", "start", "n", "again", "cores"],
             )
 
-    every = cut(docs.mapInArrow(contexts, "anchor long, name binary, doc long, salt long, start long, n long, again boolean"))
+    every = spill(docs.mapInArrow(contexts, "anchor long, name binary, doc long, salt long, start long, n long, again boolean, cores array<long>"), "contexts")
+    free(spark)
     place = F.struct("doc", "salt", "start")
     fresh = every.where(~F.col("again"))
-    one = cut(fresh.groupBy("anchor", "name").agg(F.min(place).alias("place"), F.count("*").alias("copies"), F.first("n").alias("n")))
-    copies = one.where("copies > 1").select("anchor", "name", "place")
-    removed = fresh.join(copies, ["anchor", "name"]).where(place != F.col("place")).select("doc", "salt", "start", "n")
+    one = cut(fresh.groupBy("anchor", "name").agg(F.min(place).alias("place"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("cores").alias("cores")))
+    free(spark)
+    copies = one.where("copies > 1").select("name", "place")
+    removed = fresh.select("name", "doc", "salt", "start", "n").join(copies, "name").where(place != F.col("place")).select("doc", "salt", "start", "n")
     removed = removed.union(every.where("again").select("doc", "salt", "start", "n"))
 
-    groups = one.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    different = cut(one.join(groups, "anchor").select("anchor", "kinds", "place.*", "n"))
+    core = one.select("anchor", "name", F.explode("cores").alias("core"))
+    shared = core.groupBy("core").count().where("count > 1").select("core")
+    live = core.join(shared, "core").select("anchor", "name").distinct()
+    left = cut(one.join(live, ["anchor", "name"], "left_semi").select("anchor", "place.*", "n"))
+    groups = left.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    different = cut(left.join(groups, "anchor").select("anchor", "kinds", "doc", "salt", "start", "n"))
+    free(spark)
     by_doc = different.groupBy("doc", "salt").agg(F.collect_list(F.struct("anchor", "start", "n", (F.col("kinds") > hot).alias("hot"))).alias("wanted"))
     met = docs.join(by_doc, ["doc", "salt"]).select("doc", "salt", F.col("text").cast("binary").alias("text"), "wanted")
 
@@ -404,6 +413,20 @@ def _bit(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(24)) & np.uint64(BITMAP_BITS - 1)
 
 
+def _cores(raw: bytes, first: int, end: int, at: int, length: int) -> Iterator[int]:
+    """Hashes of stretches around the anchor at `at`, one of which every window of raw[first:end] has whole.
+
+    A window leaves `length` - GRAM bytes to both sides of its anchor together; with the
+    quarters of that, one of four splits into left and right lies inside it. Equal windows share a core, so
+    contexts with no core of another context have no window of another.
+    """
+    quarter = (length - GRAM) // 4
+    for i in range(4):
+        left, right = i * quarter, (3 - i) * quarter
+        if at - left >= first and at + GRAM + right <= end:
+            yield xxhash.xxh3_64_intdigest(raw[at - left : at + GRAM + right], seed=i) - (1 << 63)
+
+
 def _marks(twice: DataFrame) -> np.ndarray:
     """A bit for each anchor that occurs twice, by bits of its own hash: of fixed size."""
     bit = F.expr(f"shiftrightunsigned(anchor, 24) & {BITMAP_BITS - 1}L")
