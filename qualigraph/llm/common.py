@@ -86,6 +86,23 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, size: int = 24 << 20)
             at = upto
 
 
+def may_be_among(df: DataFrame, values: DataFrame, name: str, bits: int, flag: str) -> DataFrame:
+    """`df` with a boolean `flag`: false where `name` is surely not among those of `values`.
+
+    A bitmap of `bits` bits, bits / 64 rows at most, is broadcast; so most rows that an exact
+    join would drop (or leave alone) need not be shuffled for it.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    words = values.select(bit(F.col(name)).alias("bit")).groupBy(F.shiftright("bit", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("_marks"))
+    met = df.withColumn("_bit", bit(F.col(name))).withColumn("_word", F.shiftright("_bit", 6)).join(F.broadcast(words), "_word", "left")
+    return met.withColumn(flag, F.expr("coalesce((shiftrightunsigned(_marks, cast(_bit & 63 as int)) & 1) = 1, false)")).drop("_bit", "_word", "_marks")
+
+
+def marked(df: DataFrame, values: DataFrame, name: str, bits: int) -> DataFrame:
+    """The rows of `df` whose `name` may be among those of `values`."""
+    return may_be_among(df, values, name, bits, "_may").where("_may").drop("_may")
+
+
 def spill(df: DataFrame, kind: str) -> DataFrame:
     """Write a large table to the shared folder as compressed Parquet and read it from there.
 

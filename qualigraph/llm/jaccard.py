@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qualigraph.llm.common import cut, free, slices, text_or_empty
+from qualigraph.llm.common import cut, free, marked, slices, text_or_empty
 from qualigraph.llm.components import components
 
 WIDTH = 5
@@ -127,18 +127,6 @@ def hot_shingles(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     return np.sort(np.array([r["s"] for r in top.select("s").collect()], np.int64).view(np.uint64))
 
 
-def marked(df: DataFrame, values: DataFrame, name: str, bits: int) -> DataFrame:
-    """The rows of `df` whose `name` may be among those of `values`.
-
-    A bitmap of `bits` bits, bits / 64 rows at most, is broadcast; it drops most other rows
-    before an exact join shuffles them.
-    """
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    words = values.select(bit(F.col(name)).alias("bit")).groupBy(F.shiftright("bit", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("_marks"))
-    met = df.withColumn("_bit", bit(F.col(name))).withColumn("_word", F.shiftright("_bit", 6)).join(F.broadcast(words), "_word")
-    return met.where(F.expr("(shiftrightunsigned(_marks, cast(_bit & 63 as int)) & 1) = 1")).drop("_bit", "_word", "_marks")
-
-
 def some_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of `docs` whose `doc` is in `ids` (column doc)."""
     return marked(docs, ids, "doc", 1 << 22).join(ids.select("doc").distinct(), "doc", "left_semi")

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from qualigraph.llm.common import cut, free, slices, spill, text_or_empty
+from qualigraph.llm.common import cut, free, marked, may_be_among, slices, spill, text_or_empty
 from qualigraph.llm.jaccard import _groups
 
 LENGTH = 100
@@ -52,6 +52,7 @@ BATCH = 60_000
 #: Different contexts of one anchor from which they are cut into windows.
 HOT = 20_000
 BITMAP_BITS = 1 << 26
+DOC_BITS = 1 << 22
 #: Bytes handled at once, few enough for a processor's cache; positions take 24 bits of a key.
 PIECE = 128 << 10
 LAST_KEY = (1 << 63) - 1
@@ -357,7 +358,8 @@ def duplicate_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     different = cut(left.join(groups, "anchor").select("anchor", "kinds", "doc", "salt", "start", "n"))
     free(spark)
     by_doc = different.groupBy("doc", "salt").agg(F.collect_list(F.struct("anchor", "start", "n", (F.col("kinds") > hot).alias("hot"))).alias("wanted"))
-    met = docs.join(by_doc, ["doc", "salt"]).select("doc", "salt", F.col("text").cast("binary").alias("text"), "wanted")
+    near = marked(docs, different, "doc", DOC_BITS)
+    met = near.join(by_doc, ["doc", "salt"]).select("doc", "salt", F.col("text").cast("binary").alias("text"), "wanted")
 
     def strings(batches):
         for batch in slices(batches, 2):
@@ -444,6 +446,21 @@ def _documents(df: DataFrame, key: str, text: str) -> tuple[DataFrame, Column]:
     return df.select(doc.alias("doc"), salt.alias("salt"), text_or_empty(text).alias("text")), salt
 
 
+def _by_document(ranges: DataFrame) -> DataFrame:
+    """(doc, salt, found) for each document that loses something; one list is bounded by its document."""
+    found = cut(ranges.groupBy("doc", "salt").agg(F.collect_list(F.struct("start", "n")).alias("found")))
+    free(ranges.sparkSession)
+    return found
+
+
+def _with_ranges(whole: DataFrame, found: DataFrame) -> DataFrame:
+    """`whole` with its documents' ranges; documents that surely have none are not shuffled."""
+    flagged = may_be_among(whole, found, "doc", DOC_BITS, "_may")
+    joined = flagged.where("_may").drop("_may").join(found, ["doc", "salt"], "left")
+    alone = flagged.where("not _may").drop("_may").withColumn("found", F.lit(None).cast(found.schema["found"].dataType))
+    return joined.unionByName(alone)
+
+
 def cover(texts: list[bytes], ranges: list, length: int = LENGTH) -> Iterator[tuple[bytes, int, int]]:
     """(kept bytes, removed bytes, removed runs) of each text."""
     for text, found in zip(texts, ranges, strict=True):
@@ -461,10 +478,10 @@ def cover(texts: list[bytes], ranges: list, length: int = LENGTH) -> Iterator[tu
 def spans(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept binary), one row for each row of `df`."""
     docs, salt = _documents(df, key, text)
-    found = duplicate_ranges(docs, length).groupBy("doc", "salt").agg(F.collect_list(F.struct("start", "n")).alias("found"))
+    found = _by_document(duplicate_ranges(docs, length))
     kind = df.schema[key].dataType
     whole = df.select(F.col(key).alias("key"), F.coalesce(F.col(key).cast("long"), F.lit(LAST_KEY)).alias("doc"), salt.alias("salt"), text_or_empty(text).cast("binary").alias("text"))
-    met = whole.join(found, ["doc", "salt"], "left").select("key", "text", "found")
+    met = _with_ranges(whole, found).select("key", "text", "found")
 
     def each(batches):
         for batch in slices(batches, 1):
@@ -479,10 +496,11 @@ def spans(df: DataFrame, key: str = "doc_id", text: str = "text", length: int =
 def remove(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """`df` with the duplicate bytes cut out of its texts; characters cut in two go whole. Null texts stay null."""
     docs, salt = _documents(df, key, text)
-    found = duplicate_ranges(docs, length).groupBy("doc", "salt").agg(F.collect_list(F.struct("start", "n")).alias("_found"))
-    marked = df.withColumns({"_doc": F.coalesce(F.col(key).cast("long"), F.lit(LAST_KEY)), "_salt": salt})
-    met = marked.join(found.select(F.col("doc").alias("_doc"), F.col("salt").alias("_salt"), "_found"), ["_doc", "_salt"], "left").select(*df.columns, "_found")
+    found = _by_document(duplicate_ranges(docs, length))
     names = df.columns
+    plain = [f"_c{i}" for i in range(len(names))]  # the input's names may clash with ours
+    whole = df.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST_KEY)).alias("doc"), salt.alias("salt"), *[F.col(f"`{n}`").alias(p) for n, p in zip(names, plain, strict=True)])
+    met = _with_ranges(whole, found).select(*plain, "found")
     at = names.index(text)
 
     def each(batches):
