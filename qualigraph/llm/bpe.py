@@ -44,22 +44,25 @@ WORD_START = r"(?U)(?<=\S)(?= )"
 BLOCK_WORDS = 4_000_000
 
 
-@functools.lru_cache(maxsize=2)
-def tokenizer(path: str):
+@functools.lru_cache(maxsize=4)
+def tokenizer(path: str, plain: bool = False):
+    """The library's tokenizer of a file; a plain one doesn't normalize, for words that are normal already."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, normalizers
 
     t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()
+    if plain:
+        t.normalizer = normalizers.Sequence([])
     return t
 
 
-def encode_words(path: str, words: list[str], step: int = 5000) -> tuple[np.ndarray, np.ndarray]:
+def encode_words(path: str, words: list[str], step: int = 5000, plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """The ids of each word, end to end, and their numbers."""
-    tok, flat, counts = tokenizer(path), [], []
+    tok, flat, counts = tokenizer(path, plain), [], []
     for i in range(0, len(words), step):
         found = [x.ids for x in tok.encode_batch_fast(words[i : i + step], add_special_tokens=False)]
         counts.extend(map(len, found))

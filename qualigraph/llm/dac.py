@@ -42,9 +42,9 @@ MAGIC = b"QGDAC001"
 CHUNK_BITS = 8
 FILE_IDS = 1_000_000
 #: Bytes of text encoded at once; the positions of their ids take some thirty times that.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 5 << 20
 #: Words whose ids a worker remembers between batches.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 300_000
 _NULL = -(1 << 63)
 
 
@@ -146,8 +146,12 @@ class _Memo:
         missing = np.flatnonzero(at < 0)
         if not len(missing):
             return self.flat, self.starts, at
+        # the vocabulary's normal form of lower-case ASCII words is the word
+        plain = np.fromiter((words[i].isascii() and words[i] == words[i].lower() for i in missing), bool, len(missing))
+        missing = np.concatenate([missing[plain], missing[~plain]])
         new = [words[i] for i in missing]
-        more, counts = encode_words(self.path, new)
+        halves = [encode_words(self.path, new[: plain.sum()], plain=True), encode_words(self.path, new[plain.sum() :])]
+        more, counts = (np.concatenate(x) for x in zip(*halves, strict=True))
         flat, starts = np.concatenate([self.flat, more]), np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
         at[missing] = np.arange(len(self.known), len(self.known) + len(new))
         if room := max(0, MEMO_WORDS - len(self.known)):
@@ -238,8 +242,13 @@ def write(df: DataFrame, path: str, folder: str, end_id: int, key: str = "doc_id
     return cut(dealt.mapInArrow(files, "part int, number int, path string, n_docs long, n_ids long"))
 
 
-def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
-    """Read the manifest's files back: key, start (ids of all documents before), n_tokens, ids."""
+def read(spark: SparkSession, folder: str, manifest: DataFrame, checksums: bool = False) -> DataFrame:
+    """Read the manifest's files back: key, start (ids of all documents before), n_tokens, ids.
+
+    With `checksums`, ids_crc32 stands for ids: the unsigned crc32 of a document's ids as
+    little-endian unsigned 32-bit integers, taken where they are read.
+    """
+    last, shape = ("ids_crc32", "long") if checksums else ("ids", "array<long>")
     before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
     base = manifest.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
     found = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("path"), "content")
@@ -254,39 +263,25 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
                     first, end = int(codes.starts[step]), int(codes.starts[upto])
                     keys = codes.keys[step:upto]
                     starts = codes.starts[step : upto + 1]
+                    ids, ends = codes.take(first, end), (starts - first).tolist()
+                    if checksums:
+                        values = pa.array([zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.int64())
+                    else:
+                        values = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int64)))
                     yield pa.record_batch(
                         [
                             pa.array(keys, mask=keys == _NULL),
                             pa.array(starts[:-1] + base),
                             pa.array(np.diff(starts)),
-                            pa.ListArray.from_arrays(pa.array(starts - first, pa.int32()), pa.array(codes.take(first, end).astype(np.int64))),
+                            values,
                         ],
-                        ["key", "start", "n_tokens", "ids"],
+                        ["key", "start", "n_tokens", last],
                     )
                     step = upto
 
     if base.isEmpty():
-        return spark.createDataFrame([], "key long, start long, n_tokens long, ids array<long>")
+        return spark.createDataFrame([], f"key long, start long, n_tokens long, {last} {shape}")
     # one row a file on both sides; the files' bytes stay where they were read
     joined = found.join(F.broadcast(base), "path") if base.count() <= 100_000 else found.join(base, "path")
-    return joined.select("base", "content").mapInArrow(documents, "key long, start long, n_tokens long, ids array<long>")
-
-
-def with_crc(df: DataFrame, ids: str = "ids", out: str = "ids_crc32") -> DataFrame:
-    """Replace `ids` by the unsigned crc32 of its values as little-endian unsigned 32-bit integers."""
-    columns = df.columns
-    at = columns.index(ids)
-
-    def crc(batches):
-        for batch in batches:
-            lists = batch.column(at)
-            values = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-            n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-            ends = np.concatenate([[0], np.cumsum(n)]).astype(int)
-            sums = [zlib.crc32(values[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            rest = [batch.column(i) for i in range(len(columns)) if i != at]
-            yield pa.record_batch([*rest, pa.array(sums, pa.int64())], [*(c for c in columns if c != ids), out])
-
-    from pyspark.sql import types as T
+    return joined.select("base", "content").mapInArrow(documents, f"key long, start long, n_tokens long, {last} {shape}")
 
-    return df.mapInArrow(crc, T.StructType([f for f in df.schema.fields if f.name != ids]).add(out, "long"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qualigraph.llm import bpe, collisions, dac, jaccard, packing, pii, quality, sharding, suffix, warc
@@ -73,14 +73,18 @@ def op7_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     folder = new_folder(spark, "dac")
     manifest = dac.write(docs, _vocabulary("word_bpe_49k.json"), folder, end_id=2)
-    return dac.with_crc(dac.read(spark, folder, manifest)).withColumnRenamed("key", "doc_id")
+    return dac.read(spark, folder, manifest, checksums=True).withColumnRenamed("key", "doc_id")
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     base = F.filter("spans", lambda s: s["base"])
     listed = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in pii.KINDS]
     return pii.find(docs).select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 

@@ -33,14 +33,16 @@ def test_round_trip_against_the_library(spark, file_ids):
     rows = [((i * 7) % 11, t, "x") for i, t in enumerate(texts)] + [(None, "null key", "x"), (3, "again", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string").repartition(4)
     folder = new_folder(spark, "dac")
-    got = dac.read(spark, folder, dac.write(df, PATH, folder, 2, partitions=3, file_ids=file_ids))
+    manifest = dac.write(df, PATH, folder, 2, partitions=3, file_ids=file_ids)
+    whole = {r.start: r.ids for r in dac.read(spark, folder, manifest).collect()}
     tok = Tokenizer.from_file(PATH)
     start = 0
-    found = {(r.start): r for r in dac.with_crc(got).collect()}
+    found = {r.start: r for r in dac.read(spark, folder, manifest, checksums=True).collect()}
     assert len(found) == len(rows)
     for key, text, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode())):
         ids = [*tok.encode(text or "", add_special_tokens=False).ids, 2]
         r = found[start]
+        assert whole[start] == ids
         assert (r.key, r.n_tokens, r.ids_crc32) == (key, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
 
@@ -48,4 +50,4 @@ def test_round_trip_against_the_library(spark, file_ids):
 def test_empty_table(spark):
     folder = new_folder(spark, "dac")
     empty = spark.createDataFrame([], "doc_id long, text string")
-    assert dac.with_crc(dac.read(spark, folder, dac.write(empty, PATH, folder, 2))).count() == 0
+    assert dac.read(spark, folder, dac.write(empty, PATH, folder, 2), checksums=True).count() == 0
