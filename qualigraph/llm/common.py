@@ -111,18 +111,30 @@ def spill(df: DataFrame, kind: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, kind)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    _spilled.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _spilled[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._spill_path = path
+    return out
 
 
-_spilled: list[tuple[SparkSession, str]] = []
+def drop_spill(df: DataFrame) -> None:
+    """Delete what `spill` wrote; nothing that still reads it may follow."""
+    _delete(df._spill_path)
+
+
+_spilled: dict[str, SparkSession] = {}
+
+
+def _delete(path: str) -> None:
+    spark = _spilled.pop(path)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 @atexit.register
 def _remove_spilled() -> None:
-    for spark, path in _spilled:
+    for path in list(_spilled):
         try:
-            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+            _delete(path)
         except Exception:  # the session has ended and its files with it, or the store is gone
             return

@@ -42,13 +42,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from qualigraph.llm.common import cut, free, marked, may_be_among, slices, spill, text_or_empty
+from qualigraph.llm.common import cut, drop_spill, free, marked, may_be_among, slices, spill, text_or_empty
 from qualigraph.llm.jaccard import _groups
 
 LENGTH = 100
 #: A multiple of eight, long enough that unrelated texts rarely share one.
 GRAM = 32
-BATCH = 60_000
+BATCH = 20_000
 #: Different contexts of one anchor from which they are cut into windows.
 HOT = 20_000
 BITMAP_BITS = 1 << 26
@@ -140,6 +140,7 @@ class Files:
 
     def __init__(self, symbols: int, folder: str | None):
         self.sizes = [0] * symbols
+        self.counts = np.zeros((symbols, symbols), np.int64)  # of each symbol in each file
         self.held = [(np.zeros(0, np.uint8),) * 2] * symbols
         self.open = [os.open(os.path.join(folder, f"{c}"), os.O_RDWR | os.O_CREAT) for c in range(symbols)] if folder else []
 
@@ -200,6 +201,7 @@ def equal_windows(strings: list[bytes], length: int = LENGTH, external: bool = T
         folder = stack.enter_context(tempfile.TemporaryDirectory()) if external and not wide else None
         files = stack.enter_context(contextlib.closing(Files(symbols, folder)))
         files.put(0, table[0].copy() if longest else np.zeros(m, kind), np.zeros(m, np.uint8))
+        files.counts[0] = np.bincount(files.get(0)[0], minlength=symbols)
         segment, at = np.zeros(m, np.int64), np.arange(m)
         alive = np.flatnonzero(sizes > 0)
         for j in range(longest):
@@ -210,14 +212,10 @@ def equal_windows(strings: list[bytes], length: int = LENGTH, external: bool = T
             before, after = np.zeros(len(alive), np.uint8), np.zeros(len(alive), np.uint8)
             order_of = np.argsort(segment[alive], kind="stable")
             cuts = np.searchsorted(segment[alive][order_of], np.arange(symbols + 1))
-            totals = np.zeros(symbols, np.int64)
             for d in range(symbols):
-                transform, common = files.get(d)
-                if not len(transform):
-                    continue
-                counts = np.bincount(transform, minlength=symbols)
-                mine = order_of[cuts[d] : cuts[d + 1]]
+                counts, mine = files.counts[d], order_of[cuts[d] : cuts[d + 1]]
                 if len(mine):
+                    transform, common = files.get(d)
                     order = np.argsort(transform, kind="stable")
                     inverse = np.empty(len(order), np.int32)
                     inverse[order] = np.arange(len(order), dtype=np.int32)
@@ -231,8 +229,7 @@ def equal_windows(strings: list[bytes], length: int = LENGTH, external: bool = T
                     has = rank + 1 < first[c + 1]
                     after[mine[has]] = _range_min(common, p[has] + 1, order[rank[has] + 1]) + 1
                     after[mine[~has]] = 1  # if there is one below at all
-                seen += counts
-                totals += counts
+                seen = seen + counts
             following = table[j + 1, alive] if j + 1 < longest else np.zeros(len(alive), kind)
             order_of = np.lexsort((place, symbol))
             cuts = np.searchsorted(symbol[order_of], np.arange(symbols + 1))
@@ -250,6 +247,7 @@ def equal_windows(strings: list[bytes], length: int = LENGTH, external: bool = T
                 there = below < len(new_common)
                 new_common[below[there]] = after[mine[there]]
                 files.put(c, new_transform, new_common)
+                files.counts[c] += np.bincount(following[mine], minlength=symbols)
             segment[alive], at[alive] = symbol, place
         return _read_out(files, symbols, m, sizes, length, kind)
 
@@ -348,7 +346,9 @@ def duplicate_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     free(spark)
     copies = one.where("copies > 1").select("name", "place")
     removed = fresh.select("name", "doc", "salt", "start", "n").join(copies, "name").where(place != F.col("place")).select("doc", "salt", "start", "n")
-    removed = removed.union(every.where("again").select("doc", "salt", "start", "n"))
+    removed = cut(removed.union(every.where("again").select("doc", "salt", "start", "n")))
+    drop_spill(every)
+    free(spark)
 
     core = one.select("anchor", "name", F.explode("cores").alias("core"))
     shared = core.groupBy("core").count().where("count > 1").select("core")
@@ -356,6 +356,7 @@ def duplicate_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     left = cut(one.join(live, ["anchor", "name"], "left_semi").select("anchor", "place.*", "n"))
     groups = left.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
     different = cut(left.join(groups, "anchor").select("anchor", "kinds", "doc", "salt", "start", "n"))
+    del one, copies, core, shared, live, left, groups
     free(spark)
     by_doc = different.groupBy("doc", "salt").agg(F.collect_list(F.struct("anchor", "start", "n", (F.col("kinds") > hot).alias("hot"))).alias("wanted"))
     near = marked(docs, different, "doc", DOC_BITS)
