@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qualigraph.llm import bpe, collisions, dac, jaccard, packing, pii, quality, sharding, suffix, warc
-from qualigraph.llm.common import cut, new_folder, table
+from qualigraph.llm.common import cut, free, new_folder, table
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,9 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = []
     for rows in (made, replica):
         folder = new_folder(spark, "warc")
-        found.append(cut(warc.read(spark, folder, warc.write(rows, folder))))
+        manifest = warc.write(rows, folder)
+        free(spark)  # the records' shuffle; the files stand for it now
+        found.append(cut(warc.read(spark, folder, manifest)))
     wrong = warc.audit(*found)
     return found[0].join(wrong, ["file", "offset"], "left").select(
         F.col("key").alias("page_id"), F.col("file").cast("long").alias("file"), "ordinal", "offset", "length", "digest", F.coalesce("status", F.lit("intact")).alias("status")

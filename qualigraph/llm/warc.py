@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from qualigraph.llm.common import cut
 
-FILE_BYTES = 64 << 20
+FILE_BYTES = 32 << 20
 RANGE_BYTES = 64 << 10
 FANOUT = 16
 DEPTH = 4
@@ -153,7 +153,9 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
                 kinds = [pa.int32(), *[pa.int64()] * 6, pa.bool_(), pa.string()]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds], names)
 
-    return found.join(manifest.select("file", "path"), "path").select("file", "content").mapInArrow(each, RECORD)
+    # a row a file: the files' bytes stay where they are read unless there are very many files
+    names = manifest.select("file", "path")
+    return found.join(F.broadcast(names) if names.count() <= 100_000 else names, "path").select("file", "content").mapInArrow(each, RECORD)
 
 
 def tree(rows: DataFrame, range_bytes: int = RANGE_BYTES, fanout: int = FANOUT, depth: int = DEPTH) -> DataFrame:
