@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qualigraph.functions.text import uuid5
+from qualigraph.operators.lineage import checkpointed
 
 NAMESPACE = "6ba7b810-9dad-11d1-80b4-00c04fd430c8"
 MOST_HOPS = 16
@@ -278,16 +279,6 @@ def traverse(start: DataFrame, relation: DataFrame, hops: list[str], include_onc
     return found.unionByName(edge.select(F.lit("edge").alias("kind"), "id", "depth")) if edge is not None else found
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the session's shared folder; a temporary one only where none is set."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="qualigraph-"))
-    return df.checkpoint(eager=True)
-
-
 def provenance(assertion: DataFrame, subject: Column) -> DataFrame:
     """(subject_id, offset): the distinct records that a subject's assertions come from."""
     return assertion.where(subject).select("subject_id", "offset").distinct()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from qualigraph.functions.text import PATTERNS
+from qualigraph.operators.lineage import checkpointed
 
 EXACT_DISTINCT = 10_000
 PATTERN_ROWS = 4096
@@ -122,7 +123,8 @@ def numbered(df: DataFrame, order: str, name: str = "_offset") -> DataFrame:
     Ranges of the key are sorted in parallel; a table with one row a partition turns places in a partition into global ones.
     """
     dealt = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), order).sortWithinPartitions(order)
-    at = dealt.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33))
+    # read twice below: cut, or the ranges could be dealt anew in between
+    at = checkpointed(dealt.withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
     sizes = at.groupBy("_part").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     base = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))

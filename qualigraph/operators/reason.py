@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qualigraph.functions.text import uuid5
-from qualigraph.operators.graph import NAMESPACE, active, checkpointed
+from qualigraph.operators.graph import NAMESPACE, active
+from qualigraph.operators.lineage import checkpointed
 
 MOST_ITERATIONS = 8
 MOST_ASSERTIONS = 10_000
