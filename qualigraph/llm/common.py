@@ -74,7 +74,7 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return "file://" + uri.removeprefix("file:") if uri.startswith("file:/") and not uri.startswith("file://") else uri
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int, size: int = 24 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: int, size: int = 6 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of `size` bytes of a text column at most, or one row."""
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
