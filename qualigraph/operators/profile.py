@@ -65,17 +65,24 @@ def lengths(df: DataFrame) -> DataFrame:
     return _stack(df.agg(*parts), len(parts))
 
 
+def _exact_small(df: DataFrame, columns: list[str]) -> dict[str, int]:
+    """Exact distinct counts of columns known to have few values: sets in one pass, no row is expanded or shuffled."""
+    if not columns:
+        return {}
+    one = df.agg(*[F.size(F.collect_set(F.col(f"`{c}`"))).alias(f"_{i}") for i, c in enumerate(columns)]).first()
+    return {c: one[f"_{i}"] for i, c in enumerate(columns)}
+
+
 def distinct(df: DataFrame, columns: list[str] | None = None, exact_up_to: int = EXACT_DISTINCT) -> DataFrame:
     """(column_name, distinct_count, mode): exact up to a limit, a sketch's estimate beyond.
 
     A sketch decides first, in one pass with a few kilobytes of state a column; only columns
-    that may stay within the limit are counted exactly, so no wide distinct is shuffled.
+    that may stay within the limit are counted exactly, so sets stay small and no wide
+    distinct is shuffled.
     """
     columns = columns or df.columns
     sketched = df.agg(*[F.approx_count_distinct(f"`{c}`", 0.00864).alias(f"_{i}") for i, c in enumerate(columns)]).first()
-    small = [c for i, c in enumerate(columns) if sketched[f"_{i}"] <= exact_up_to * 1.1]
-    counted = df.agg(*[F.count_distinct(F.col(f"`{c}`")).alias(f"_{i}") for i, c in enumerate(small)]).first() if small else {}
-    exact = {c: counted[f"_{i}"] for i, c in enumerate(small)}
+    exact = _exact_small(df, [c for i, c in enumerate(columns) if sketched[f"_{i}"] <= exact_up_to * 1.1])
     rows = [(c, exact[c], "exact") if exact.get(c, exact_up_to + 1) <= exact_up_to else (c, sketched[f"_{i}"], "approximate") for i, c in enumerate(columns)]
     return df.sparkSession.createDataFrame(rows, "column_name string, distinct_count long, mode string")
 
@@ -104,17 +111,37 @@ def patterns(df: DataFrame, column: str, order: str, rows: int = PATTERN_ROWS, s
     return one.select(F.lit(column).alias("column_name"), "sampled", name.alias("pattern"))
 
 
-def report(df: DataFrame) -> DataFrame:
-    """The whole profile: a row for each column with all of the above that applies to it."""
-    kinds = df.sparkSession.createDataFrame([(f.name, f.dataType.simpleString()) for f in df.schema.fields], "column_name string, type string")
-    out = kinds.join(nulls(df), "column_name").join(distinct(df), "column_name")
-    number = [f for f in df.schema.fields if _numeric(F.col("x"), f.dataType) is not None]
-    if number:
-        out = out.join(numbers(df), "column_name", "left")
-    if any(isinstance(f.dataType, T.StringType) for f in df.schema.fields):
-        text = lengths(df).select("column_name", F.col("min").alias("min_bytes"), F.col("max").alias("max_bytes"), F.col("mean").alias("mean_bytes"))
-        out = out.join(text, "column_name", "left")
-    return out
+REPORT = (
+    "column_name string, type string, row_count long, null_count long, null_rate double, distinct_count long, mode string, "
+    "min double, max double, mean double, variance double, min_decimal string, max_decimal string, min_bytes long, max_bytes long, mean_bytes double"
+)
+
+
+def report(df: DataFrame, exact_up_to: int = EXACT_DISTINCT) -> DataFrame:
+    """The whole profile, a row for each column: one pass for all statistics, a second for exact small distinct counts.
+
+    What comes to the driver is one row of aggregates.
+    """
+    parts, nothing = [F.count("*").alias("rows")], F.lit(None)
+    for i, f in enumerate(df.schema.fields):
+        c = F.col(f"`{f.name}`")
+        n, exact, text = _numeric(c, f.dataType), isinstance(f.dataType, T.DecimalType), isinstance(f.dataType, T.StringType)
+        size = F.octet_length(c).cast("long") if text else None
+        parts += [
+            F.count(c).alias(f"present{i}"),
+            F.approx_count_distinct(c, 0.00864).alias(f"distinct{i}"),
+            F.struct(*[(g(n) if n is not None else nothing.cast("double")).alias(k) for k, g in (("min", F.min), ("max", F.max), ("mean", F.avg), ("variance", F.var_samp))]).alias(f"number{i}"),
+            F.struct(*[(g(c).cast("string") if exact else nothing.cast("string")).alias(k) for k, g in (("min", F.min), ("max", F.max))]).alias(f"decimal{i}"),
+            F.struct(*[(g(size) if text else nothing).cast(kind).alias(k) for k, g, kind in (("min", F.min, "long"), ("max", F.max, "long"), ("mean", F.avg, "double"))]).alias(f"text{i}"),
+        ]
+    one = df.agg(*parts).first()
+    small = _exact_small(df, [f.name for i, f in enumerate(df.schema.fields) if one[f"distinct{i}"] <= exact_up_to * 1.1])
+    rows = []
+    for i, f in enumerate(df.schema.fields):
+        missing = one["rows"] - one[f"present{i}"]
+        count, mode = (small[f.name], "exact") if small.get(f.name, exact_up_to + 1) <= exact_up_to else (one[f"distinct{i}"], "approximate")
+        rows.append((f.name, f.dataType.simpleString(), one["rows"], missing, missing / one["rows"] if one["rows"] else 0.0, count, mode, *one[f"number{i}"], *one[f"decimal{i}"], *one[f"text{i}"]))
+    return df.sparkSession.createDataFrame(rows, REPORT)
 
 
 def numbered(df: DataFrame, order: str, name: str = "_offset") -> DataFrame:
