@@ -69,7 +69,18 @@ def records(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
 def write(made: DataFrame, folder: str) -> DataFrame:
     """Write records to .warc.gz files in `folder`; return the manifest (file, path, n_records)."""
     width = int(made.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = made.repartition(width, "file").sortWithinPartitions("file", F.col("key").asc_nulls_first(), "record")
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for data in batch.column(2):
+                packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+                out.append(packer.compress(data.as_buffer()) + packer.flush())
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["file", "key", "record"])
+
+    # members are packed before they are dealt: the shuffle carries what the files will hold
+    ready = made.select("file", "key", "record").mapInArrow(packed, "file int, key long, record binary")
+    dealt = ready.repartition(width, "file").sortWithinPartitions("file", F.col("key").asc_nulls_first(), "record")
 
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -85,8 +96,7 @@ def write(made: DataFrame, folder: str) -> DataFrame:
                         yield row()
                     file, n, name = f, 0, f"{f:06d}-{uuid.uuid4().hex}.warc.gz"
                     out = store.open_output_stream(f"{at}/{name}", compression=None)
-                packer = zlib.compressobj(6, zlib.DEFLATED, 31)
-                out.write(packer.compress(data.as_buffer()) + packer.flush())
+                out.write(data.as_buffer())
                 n += 1
         if out:
             out.close()
