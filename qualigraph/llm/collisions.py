@@ -105,11 +105,15 @@ def pairs(left: np.ndarray, right: np.ndarray, same: bool, threshold: float = TH
 
 
 def roots(n: int, i: np.ndarray, j: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """The least label of each node's component, by hooking and halving."""
+    """The least label of each node's component, by hooking and halving.
+
+    `label` holds the roots from the links seen before. Roots are hooked, not the ends of the
+    new links, so that what hangs below a root moves with it.
+    """
     while True:
-        new = label.copy()
-        np.minimum.at(new, i, label[j])
-        np.minimum.at(new, j, label[i])
+        new, least = label.copy(), np.minimum(label[i], label[j])
+        np.minimum.at(new, label[i], least)
+        np.minimum.at(new, label[j], least)
         while True:
             jumped = new[new]
             if (jumped == new).all():

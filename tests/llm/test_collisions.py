@@ -67,6 +67,43 @@ def test_recall_on_pairs_at_the_threshold():
     assert all((x[i] * y[j]).sum() >= 0.9 for i, j in found)
 
 
+def test_earlier_links_follow_their_roots():
+    label = np.arange(601)
+    for i, j in [([5, 3], [500, 600]), ([500], [600])]:
+        label = collisions.roots(601, np.array(i), np.array(j), label)
+    assert label[[3, 5, 500, 600]].tolist() == [3] * 4
+    rng = np.random.default_rng(7)
+    for _ in range(20):
+        links = rng.integers(0, 400, (300, 2))
+        label, want = np.arange(400), np.arange(400)
+        for at in range(0, 300, 25):
+            label = collisions.roots(400, links[at : at + 25, 0], links[at : at + 25, 1], label)
+        for _ in range(400):
+            for a, b in links.tolist():
+                want[a] = want[b] = min(want[a], want[b])
+        assert label.tolist() == want.tolist()
+
+
+@pytest.mark.parametrize("block", [None, 200])
+def test_chains_over_many_batches_of_queries(spark, block):
+    """A long path of near vectors whose ids are shuffled, so its links come in many batches."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(60):
+        base = np.zeros(64)
+        base[k] = 1.0
+        turn = np.zeros(64)
+        turn[(k + 1) % 64] = 1.0
+        # steps of 20 degrees: neighbours link (cosine 0.94), and the last is near the next plane's first
+        rows += [(math.cos(math.radians(20 * s)) * base + math.sin(math.radians(20 * s)) * turn).tolist() for s in range(5)]
+    for _ in range(700 - len(rows)):
+        rows.append(rng.normal(0, 1, 64).tolist())
+    rows = list(zip(rng.permutation(len(rows)).tolist(), rows, strict=True))
+    schema = T.StructType().add("vec_id", "long").add("embedding", T.ArrayType(T.DoubleType()))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in collisions.near_duplicates(spark.createDataFrame(rows, schema).repartition(4), block=block).collect()}
+    assert got == brute(rows)
+
+
 def test_empty_table(spark):
     schema = T.StructType().add("vec_id", "long").add("embedding", T.ArrayType(T.DoubleType()))
     assert collisions.near_duplicates(spark.createDataFrame([], schema)).count() == 0
