@@ -385,8 +385,14 @@ def _assertions(spark, sf_dir):
 
 @query(_G + 'SELECT * FROM ass')
 def mat_assertions(spark, sf_dir):
-    """Doubles print differently in the two engines, so the balance is left to the tests."""
-    return _assertions(spark, sf_dir).where("predicate != 'balance'").select("offset", "subject_id", "predicate", "value_type", "value", "kind")
+    """Those that the SQL can compare: doubles print differently in the two engines. `mat_assertions_all` has the balance too."""
+    return mat_assertions_all(spark, sf_dir).where("predicate != 'balance'")
+
+
+@query()
+def mat_assertions_all(spark, sf_dir):
+    """All seven properties of the mapping."""
+    return _assertions(spark, sf_dir).select("offset", "subject_id", "predicate", "value_type", "value", "kind")
 
 
 @query(_G + "SELECT c_custkey, error FROM rec WHERE error IS NOT NULL")

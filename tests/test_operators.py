@@ -109,6 +109,25 @@ def test_materialize(spark):
         graph.traverse(objects, relations, ["both"] * 17)
 
 
+def test_every_property_of_the_mapping_is_asserted(spark):
+    from qualigraph import catalogue
+
+    sf_dir = "/root/testdata/sf0.001"
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet").collect()
+    nations, want = {n.n_nationkey: n for n in read("nation")}, []
+    for c in read("customer"):
+        n = nations.get(c.c_nationkey)
+        if n is None or c.c_mktsegment not in ("BUILDING", "AUTOMOBILE", "MACHINERY", "HOUSEHOLD") or c.c_acctbal < -900 or len(c.c_name) > 40:
+            continue
+        want += [(c.c_custkey, "customer_key", str(c.c_custkey)), (c.c_custkey, "name", c.c_name.upper()), (c.c_custkey, "segment", c.c_mktsegment), (c.c_custkey, "balance", str(c.c_acctbal))]
+        want += [(c.c_custkey, "nation_key", str(n.n_nationkey)), (c.c_custkey, "name", n.n_name), (c.c_custkey, "region_key", str(n.n_regionkey))]
+    got = catalogue.QUERIES["mat_assertions_all"](spark, sf_dir).collect()
+    assert {r.predicate for r in got} >= {"balance"} and {(r.value_type, r.kind) for r in got if r.predicate == "balance"} == {("decimal", "observed")}
+    assert sorted((r.offset, r.predicate, r.value) for r in got) == sorted(want)
+    subjects = {r.offset: r.subject_id for r in got if r.predicate == "customer_key"}
+    assert all(r.subject_id == subjects[r.offset] for r in got if r.predicate == "balance")
+
+
 def test_reasoning(spark):
     good, _ = graph.split(records(spark), MAPPING)
     facts = graph.assertions(good, MAPPING, "o")
