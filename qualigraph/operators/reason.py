@@ -34,13 +34,18 @@ class Rule:
     predicate: str
     value: str
     version: int = 1
+    confidence: float = 1.0
+
+
+#: What an assertion carries into its conclusions, and what stands for a column that the table lacks.
+CARRIED = {"confidence": ("decimal(19,18)", 1), "observed_at": ("timestamp", None), "valid_from": ("timestamp", None), "valid_to": ("timestamp", None)}
 
 
 def _premises(facts: DataFrame, rule: Rule) -> DataFrame:
-    """(subject_id, p0, p1, …): one assertion for each condition, the one with the smallest id."""
+    """(subject_id, p0, p1, …): one assertion (its id and what it carries) for each condition, the one with the smallest id."""
     out = None
     for i, c in enumerate(rule.conditions):
-        one = facts.where(c.holds()).groupBy("subject_id").agg(F.min("assertion_id").alias(f"p{i}"))
+        one = facts.where(c.holds()).groupBy("subject_id").agg(F.min(F.struct("assertion_id", *CARRIED)).alias(f"p{i}"))
         out = one if out is None else out.join(one, "subject_id")
     return out
 
@@ -48,12 +53,15 @@ def _premises(facts: DataFrame, rule: Rule) -> DataFrame:
 def apply(assertion: DataFrame, rules: list[Rule], most_iterations: int = MOST_ITERATIONS, most_assertions: int | None = MOST_ASSERTIONS) -> tuple[DataFrame, int]:
     """(inferred facts, iterations): rules run until nothing new appears or a limit is reached.
 
-    Facts: assertion_id, subject_id, predicate, value, rule_id, iteration, premises. Facts of
+    Facts: assertion_id, subject_id, predicate, value, rule_id, iteration, premises, and
+    confidence (the least of the premises times the rule's), observed_at (the latest), valid_from
+    and valid_to (the common part of the premises; nothing is inferred if it is empty). Facts of
     an iteration are seen in the next one only; a fact that is active already is not
     inferred again. Truncation at the limit (None: no limit) is in (subject, rule, version) order.
     """
     # every rule of every iteration reads the facts: they are cut from their lineage once
-    live = checkpointed(active(assertion).select("assertion_id", "subject_id", "predicate", "value"))
+    carried = [F.coalesce(F.col(c) if c in assertion.columns else F.lit(None), F.lit(default)).cast(kind).alias(c) for c, (kind, default) in CARRIED.items()]
+    live = checkpointed(active(assertion).select("assertion_id", "subject_id", "predicate", "value", *carried))
     inferred, left, n = None, most_assertions, 0
     for n in range(1, most_iterations + 1):
         facts = live if inferred is None else live.unionByName(inferred.select(*live.columns))
@@ -62,20 +70,27 @@ def apply(assertion: DataFrame, rules: list[Rule], most_iterations: int = MOST_I
             premises = _premises(facts, r)
             names = [f"p{i}" for i in range(len(r.conditions))]
             known = facts.where((F.col("predicate") == r.predicate) & (F.col("value") == r.value)).select("subject_id")
-            new = premises.join(known, "subject_id", "left_anti").select(
-                uuid5(NAMESPACE, F.concat_ws(":", F.lit(f"{r.id}@{r.version}"), "subject_id", *names)).alias("assertion_id"),
+            ids = [F.col(f"{p}.assertion_id") for p in names]
+            sure, seen, starts, ends = ([F.col(f"{p}.{c}") for p in names] for c in CARRIED)
+            low, high = _common(starts, ends)
+            new = premises.join(known, "subject_id", "left_anti").where(F.coalesce(low <= high, F.lit(True))).select(
+                uuid5(NAMESPACE, F.concat_ws(":", F.lit(f"{r.id}@{r.version}"), "subject_id", *ids)).alias("assertion_id"),
                 "subject_id",
                 F.lit(r.predicate).alias("predicate"),
                 F.lit(r.value).alias("value"),
                 F.lit(r.id).alias("rule_id"),
                 F.lit(r.version).alias("rule_version"),
                 F.lit(n).alias("iteration"),
-                F.array(*names).alias("premises"),
+                F.array(*ids).alias("premises"),
+                (F.least(*sure, sure[0]) * F.lit(str(r.confidence)).cast("decimal(19,18)")).cast("decimal(19,18)").alias("confidence"),
+                F.greatest(*seen, seen[0]).alias("observed_at"),
+                low.alias("valid_from"),
+                high.alias("valid_to"),
             )
             found = new if found is None else found.unionByName(new)
         # two rules with one conclusion: the first one's fact stands
-        first = found.groupBy("subject_id", "predicate", "value").agg(F.min(F.struct("rule_id", "rule_version", "assertion_id", "iteration", "premises")).alias("r"))
-        found = first.select("r.assertion_id", "subject_id", "predicate", "value", "r.rule_id", "r.rule_version", "r.iteration", "r.premises")
+        first = found.groupBy("subject_id", "predicate", "value").agg(F.min(F.struct("rule_id", "rule_version", "assertion_id", "iteration", "premises", *CARRIED)).alias("r"))
+        found = first.select("r.assertion_id", "subject_id", "predicate", "value", "r.rule_id", "r.rule_version", "r.iteration", "r.premises", *[f"r.{c}" for c in CARRIED])
         found = checkpointed(found)
         count = found.count()
         if left is not None and count > left:
@@ -104,9 +119,14 @@ def explain(inferred: DataFrame, depth: int = 8) -> DataFrame:
     return out
 
 
+def _common(starts: list[Column], ends: list[Column]) -> tuple[Column, Column]:
+    # a bound twice, since greatest and least want two columns
+    return F.greatest(*starts, starts[0]), F.least(*ends, ends[0])
+
+
 def intersect(starts: list[Column], ends: list[Column]) -> tuple[Column, Column]:
     """The common part of closed intervals, null bounds open; (null, null) if it is empty."""
-    low, high = F.greatest(*starts), F.least(*ends)
+    low, high = _common(starts, ends)
     bad = F.coalesce(low > high, F.lit(False))
     return F.when(~bad, low), F.when(~bad, high)
 

@@ -1,3 +1,6 @@
+from datetime import datetime
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -139,6 +142,29 @@ def test_reasoning(spark):
     assert {r.depth: r.n for r in reason.explain(found).groupBy("depth").agg(F.count("*").alias("n")).collect()} == {1: 4, 2: 2}
 
 
+def test_inferred_facts_combine_their_premises(spark):
+    day = lambda d: None if d is None else datetime(2024, 1, d)
+    rows = [  # id, subject, predicate, confidence, observed, from, to
+        ("1", "s", "a", Decimal("0.9"), 3, 2, 20),
+        ("2", "s", "b", Decimal("0.8"), 5, None, 10),
+        ("3", "t", "a", None, 1, 1, 4),
+        ("4", "t", "b", None, 2, 5, None),
+        ("5", "u", "a", None, None, None, None),
+        ("6", "u", "b", None, None, None, None),
+    ]
+    schema = "assertion_id string, subject_id string, predicate string, value string, supersedes string, confidence decimal(19,18), observed_at timestamp, valid_from timestamp, valid_to timestamp"
+    facts = spark.createDataFrame([(i, s, p, "x", None, c, day(o), day(a), day(b)) for i, s, p, c, o, a, b in rows], schema)
+    rules = [reason.Rule("r1", (reason.Condition("a"), reason.Condition("b")), "c", "y", confidence=0.9), reason.Rule("r2", (reason.Condition("c"),), "d", "z", confidence=0.5)]
+    got = {(r.subject_id, r.predicate): (r.confidence, r.observed_at, r.valid_from, r.valid_to) for r in reason.apply(facts, rules)[0].collect()}
+    # t's premises have no day in common
+    assert got == {
+        ("s", "c"): (Decimal("0.72"), day(5), day(2), day(10)),
+        ("s", "d"): (Decimal("0.36"), day(5), day(2), day(10)),
+        ("u", "c"): (Decimal("0.9"), None, None, None),
+        ("u", "d"): (Decimal("0.45"), None, None, None),
+    }
+
+
 def test_resolution(spark):
     pairs = spark.createDataFrame([("b", "a"), ("a", "b"), ("c", "d"), ("a", "a"), ("b", "e")], "a string, b string")
     candidates = reason.candidates(pairs, F.when(F.col("a") == "c", 0.5).otherwise(0.95))
