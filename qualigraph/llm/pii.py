@@ -422,10 +422,10 @@ def tag(tagger: Tagger, texts: list[str], batch: int = 2048) -> list[list[Span]]
 
 
 def sample_texts(df: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS) -> tuple[str, ...]:
-    """The texts to train on: those with the least hashes, `rows` at most, whole."""
+    """The different texts to train on: those with the least hashes, `rows` at most, whole."""
     live = df.select(text_or_empty(text).alias("t")).where(F.col("t").rlike("[0-9@]")).withColumn("h", F.xxhash64("t"))
     # hashes first, so that no task sends more than `rows` numbers to the driver
-    least = [r["h"] for r in live.select("h").orderBy("h").limit(rows).collect()]
+    least = [r["h"] for r in live.select("h").distinct().orderBy("h").limit(rows).collect()]
     if not least:
         return ()
     found = live.where(F.col("h") <= least[-1]).groupBy("h").agg(F.min("t").alias("t"))

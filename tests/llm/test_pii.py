@@ -114,3 +114,13 @@ def test_frames(spark):
     assert pii.redact(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         pii.find(df, out="kind")
+
+
+def test_copies_do_not_crowd_out_the_training_texts(spark):
+    from pyspark.sql import functions as F
+
+    few = spark.range(20).select(F.concat(F.lit("call 555 010 "), F.col("id").cast("string")).alias("text"))
+    df = few.crossJoin(spark.range(60).select(F.lit(1))).repartition(4)
+    want = [r.text for r in few.orderBy(F.xxhash64("text")).collect()]
+    assert pii.sample_texts(df, rows=10) == tuple(want[:10])
+    assert pii.sample_texts(df, rows=30) == tuple(want)
