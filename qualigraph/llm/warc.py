@@ -202,3 +202,11 @@ def audit(primary: DataFrame, replica: DataFrame, range_bytes: int = RANGE_BYTES
         wrong = differing.select("file", F.col("node").alias("parent"))
     status = F.when(F.col("other").isNull(), "missing").when(F.col("mine").isNull(), "extra").otherwise("damaged")
     return differing.select("file", F.col("node").alias("offset"), status.alias("status"))
+
+
+def report(primary: DataFrame, replica: DataFrame) -> DataFrame:
+    """The rows of `primary` with their `status`, `intact` if the audit finds nothing, and those of `replica` that are extra."""
+    wrong = audit(primary, replica)
+    extra = F.col("status") == "extra"
+    ours = primary.join(wrong.where(~extra), ["file", "offset"], "left").withColumn("status", F.coalesce("status", F.lit("intact")))
+    return ours.unionByName(replica.join(wrong.where(extra), ["file", "offset"]))

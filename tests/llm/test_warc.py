@@ -43,6 +43,36 @@ def test_missing_records(spark):
     assert {r.status for r in found} >= {"missing"}
 
 
+@pytest.mark.parametrize("swap", [False, True])
+def test_report_has_the_records_of_both_replicas(spark, swap):
+    """One replica lacks a record of each file, so later offsets shift; swapped, it has one more."""
+    (_, ours), (_, theirs) = replicas(spark, lambda d: d.where("key is null or key % 90 != 5"))
+    primary, replica = (theirs, ours) if swap else (ours, theirs)
+    mine, other = ({(r.file, r.offset): (r.key, r.length, r.digest) for r in d.collect()} for d in (primary, replica))
+    want = {(*at, *row, "missing" if at not in other else "intact" if other[at][1:] == row[1:] else "damaged") for at, row in mine.items()}
+    want |= {(*at, *row, "extra") for at, row in other.items() if at not in mine}
+    got = [(r.file, r.offset, r.key, r.length, r.digest, r.status) for r in warc.report(primary, replica).collect()]
+    assert {x[-1] for x in want} >= {"missing", "extra", "intact"}
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_report_of_an_unreadable_member(spark):
+    from pathlib import Path
+
+    (_, ours), (folder, theirs) = replicas(spark, lambda d: d)
+    path = max(Path(folder.removeprefix("file://")).glob("*.warc.gz"), key=lambda p: p.stat().st_size)
+    data = bytearray(path.read_bytes())
+    data[12:15] = b"\xff\xff\xff"
+    (path.parent / f".{path.name}.crc").unlink(missing_ok=True)
+    path.write_bytes(bytes(data))
+    got = warc.report(ours, theirs).collect()
+    file = int(path.name.split("-")[0])
+    assert sum(r.status != "extra" for r in got) == len(ROWS)
+    assert all((r.status == "intact") == (r.file != file) for r in got)
+    assert [r.status for r in got if r.file == file and r.offset == 0] == ["damaged"]
+    assert any(r.status == "extra" for r in got)
+
+
 def test_damaged_members_are_skipped():
     import zlib
 
