@@ -2,18 +2,25 @@
 
 Spark splits every text into words: a word starts at a blank that follows a character other
 than white space, so the tokenizer's own pre-tokenizer also cuts there and words can be
-encoded apart. A block is a run of rows of one task: its texts become codes into the block's
-own list of distinct words. The lists are dealt by the word's hash, so each distinct word of
-the whole table is encoded once, in one task; the answers go back to their blocks and the ids
-are put together by position. What is shuffled are compressed lists of distinct words, their
-ids and the codes: no text, and no row per word occurrence. Nothing is broadcast but the
-path of the vocabulary. A hot word is one entry in each block, whatever its frequency.
-
-Decoding joins ids to pieces by position: the vocabulary (a file of fixed size, one entry for
-each id) is the build side, every token the probe side.
-
-Memory: a block holds `BLOCK_WORDS` words at most, or one text if that is longer; a task of
-the word stage holds the distinct words of `buckets`-th part of the vocabulary.
+encoded apart. A block is a run of rows of one task: its texts become positions in the block's
+own lists of distinct words, and these codes wait in a file of the shared folder. The lists
+are dealt by the word's hash, so each distinct word of the whole table is encoded once, in one
+task; the answers go back to their blocks, where the ids are joined to the codes by position.
+What is shuffled are compressed lists of distinct words and their ids: no text, no code and no
+row per word occurrence. A hot word is one entry in each block, whatever its frequency.
+
+Decoding joins ids to pieces: each batch's distinct ids meet the id-to-piece table (a row for
+each id of the vocabulary, a file of fixed size) in a hash join, and the pieces are put in the
+places of the ids.
+
+Memory: a block holds `BLOCK_WORDS` words at most, or one text if that is longer; a bucket of
+words holds one `buckets`-th of all distinct words; every row that is shuffled is a list of
+one bucket of one block.
+
+Lost executors: a block's file is named by its place and its content and moved into place
+whole, so a repeated task leaves the same file. The input is cut from its lineage first; only a
+frame that comes straight from files, whose rows are the same at each reading, may go without
+(`stable`).
 
 Defined results: null or empty texts have no ids; decoding null or no ids gives ''. Rows
 are answered one by one, so repeated rows and repeated or null keys are kept. Columns other
@@ -25,7 +32,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import itertools
-import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,11 +44,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from qualigraph.llm.common import cut, text_or_empty
+from qualigraph.llm.common import cut, scratch, text_or_empty
 
 #: A blank after something else than white space starts a new word.
 WORD_START = r"(?U)(?<=\S)(?= )"
-BLOCK_WORDS = 4_000_000
+BLOCK_WORDS = 1_000_000
+#: Tokens that one batch of results holds, or one row if that has more.
+BATCH_IDS = 500_000
 
 
 @functools.lru_cache(maxsize=4)
@@ -82,15 +91,18 @@ def unpack(data: bytes) -> np.ndarray:
 
 
 def pack_words(words: pa.Array) -> bytes:
-    sink = pa.BufferOutputStream()
-    batch = pa.record_batch([words.cast(pa.large_string())], ["w"])
-    with pa.ipc.new_stream(sink, batch.schema) as out:
-        out.write_batch(batch)
-    return zstandard.ZstdCompressor(level=3).compress(sink.getvalue().to_pybytes())
+    """Words as their lengths and their bytes end to end."""
+    words = words.cast(pa.large_binary())
+    lengths = pack(pc.binary_length(words).to_numpy(zero_copy_only=False))
+    body = zstandard.ZstdCompressor(level=3).compress(b"".join(words.to_pylist()))
+    return len(lengths).to_bytes(8, "little") + lengths + body
 
 
 def unpack_words(data: bytes) -> list[str]:
-    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(data)).read_all()["w"].to_pylist()
+    upto = 8 + int.from_bytes(data[:8], "little")
+    ends = np.concatenate([[0], np.cumsum(unpack(data[8:upto]), dtype=np.int64)])
+    body = pa.py_buffer(zstandard.ZstdDecompressor().decompress(data[upto:]))
+    return pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), body).to_pylist()
 
 
 def bucket_of(words: pa.Array, buckets: int) -> np.ndarray:
@@ -123,110 +135,147 @@ def _whole(a: pa.Array) -> pa.Array:
     return a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a
 
 
-def _local(number: int, keys: pa.Array, lists: pa.Array, buckets: int):
-    """The block's name, its distinct words with their buckets, and the texts as indices of words."""
-    flat = _whole(lists.flatten())
-    coded = flat.dictionary_encode()
-    words = coded.dictionary
-    bucket = bucket_of(words, buckets)
-    often = np.bincount(coded.indices.to_numpy(), minlength=len(words))
-    order = np.lexsort((np.arange(len(words)), -often, bucket))
-    content = hashlib.md5(str(keys.to_pylist()).encode())
-    content.update(str(len(flat)).encode() + "".join(words.to_pylist()).encode())
-    name = f"{TaskContext.get().partitionId()}-{number}-{content.hexdigest()}"
-    return name, words, bucket, often, order, coded.indices.to_numpy()
+def _by_bucket(words: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, position, ends): words by bucket and then by text, where each word stands, where buckets end."""
+    bucket, by_text = bucket_of(words, buckets), pc.sort_indices(words).to_numpy()
+    order = by_text[np.argsort(bucket[by_text], kind="stable")]
+    position = np.empty(len(order), np.int64)
+    position[order] = np.arange(len(order))
+    return order, position, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
+def _store(folder: str, name: str, keys: pa.Array, lengths: np.ndarray, codes: np.ndarray) -> None:
+    """A block's file: its keys, the numbers of words of its texts, and their codes."""
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(folder)
+    batch = pa.record_batch([pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys), pa.array([pack(lengths)], pa.binary()), pa.array([pack(codes)], pa.binary())], ["keys", "lengths", "codes"])
+    own = f"{at}/_{uuid.uuid4().hex}"
+    with store.open_output_stream(own, compression=None) as out, pa.ipc.new_stream(out, batch.schema) as f:
+        f.write_batch(batch)
+    store.move(own, f"{at}/{name}")
+
 
+def _fetch(folder: str, name: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    from pyarrow import fs
 
-def _by_frequency(often: np.ndarray) -> np.ndarray:
-    """Frequent words get small codes, which compress better."""
-    place = np.empty(len(often), np.int64)
-    place[np.argsort(-often, kind="stable")] = np.arange(len(often))
-    return place
+    store, at = fs.FileSystem.from_uri(folder)
+    with store.open_input_stream(f"{at}/{name}", compression=None) as f:
+        row = pa.ipc.open_stream(f).read_all().combine_chunks()
+    return row["keys"].chunk(0).values, unpack(row["lengths"][0].as_py()).astype(np.int64), unpack(row["codes"][0].as_py()).astype(np.int64)
 
 
-def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", buckets: int | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
+def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", buckets: int | None = None, block_words: int = BLOCK_WORDS, stable: bool = False) -> DataFrame:
     """Return (key, ids array<int>), one row for each row of `df`.
 
     `path` is a vocabulary file of the tokenizers library; special tokens in a text are found
-    as the library does by default. Both passes have to meet the same rows in the same tasks,
-    as they do when `df` only reads files; whatever else is cut by a checkpoint first.
+    as the library does by default. `stable` says that `df` reads files without a shuffle, so
+    that it need not be cut from its lineage.
     """
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    if not all(re.match(r"[\s:+-]*(Project|Filter|Relation)\b", line) for line in plan.strip().splitlines()):
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    df = df.select(F.col(key).alias("key"), text_or_empty(text).alias("text"))
+    spark, kind = df.sparkSession, df.schema["key"].dataType
+    if not stable:
         df = cut(df)
-    spark = df.sparkSession
-    buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    kind = df.schema[key].dataType
-    words = F.filter(F.split(text_or_empty(text), WORD_START), lambda w: w != "")
-    split = df.select(F.col(key).alias("key"), words.alias("words"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets, folder, key_type = buckets or max(8, parts), scratch(spark, "codes"), to_arrow_type(kind)
+    words = F.filter(F.split("text", WORD_START), lambda w: w != "")
 
     def lists_of_words(batches):
         for number, (keys, lists) in enumerate(_blocks(batches, block_words)):
-            name, words, bucket, often, order, _ = _local(number, keys, lists, buckets)
-            ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            for b in range(buckets):
-                if ends[b] < ends[b + 1]:
-                    yield pa.record_batch([pa.array([name]), pa.array([b], pa.int32()), pa.array([pack_words(words.take(pa.array(order[ends[b] : ends[b + 1]])))], pa.binary())], ["block", "bucket", "words"])
-
-    def codes(batches):
-        for number, (keys, lists) in enumerate(_blocks(batches, block_words)):
-            name, words, bucket, often, order, indices = _local(number, keys, lists, buckets)
-            place = _by_frequency(often)
-            position = np.empty(len(words), np.int64)  # in the answers, bucket by bucket
-            position[order] = np.arange(len(words))
-            answers = np.empty(len(words), np.int64)  # answers[code] = position
-            answers[place] = position
             lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-            yield pa.record_batch(
-                [pa.array([name]), pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys), pa.array([pack(lengths)], pa.binary()), pa.array([pack(answers)], pa.binary()), pa.array([pack(place[indices])], pa.binary())],
-                ["block", "keys", "lengths", "answers", "codes"],
-            )
+            coded = _whole(lists.flatten()).dictionary_encode()
+            listed, indices = coded.dictionary, coded.indices.to_numpy()
+            order, position, ends = _by_bucket(listed, buckets)
+            content = hashlib.md5(str(keys.to_pylist()).encode())
+            for part in (lengths, indices, *listed.buffers()[1:]):
+                content.update(part if part is not None else b"")
+            name = f"{TaskContext.get().partitionId():06d}-{number:06d}-{content.hexdigest()}"
+            _store(folder, name, keys, lengths, position[indices])
+            filled = np.flatnonzero(np.diff(ends))
+            # the row of bucket -1 stands for the block itself: how many lists it has
+            data = [b"", *(pack_words(listed.take(pa.array(order[ends[b] : ends[b + 1]]))) for b in filled.tolist())]
+            yield _rows([name] * len(data), [-1, *filled.tolist()], [len(filled)] * len(data), data)
 
     def encoded(batches):
-        # all lists of a bucket are together: each distinct word is encoded at its first sight
-        known: dict[str, int] = {}
-        flat, starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        known, ids, now = {}, _Lists(), None  # of one bucket: each distinct word is encoded at its first sight
         for batch in batches:
-            for block, bucket, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = unpack_words(data)
-                if new := [w for w in words if w not in known]:
-                    more, counts = encode_words(path, new)
+            block, bucket, n, data = (c.to_pylist() for c in batch.columns)
+            out = []
+            for b, packed in zip(bucket, data, strict=True):
+                if b < 0:
+                    out.append(b"")
+                    continue
+                if b != now:
+                    known, ids, now = {}, _Lists(), b
+                listed = unpack_words(packed)
+                if new := [w for w in listed if w not in known]:
                     known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-                    flat, starts = np.concatenate([flat, more]), np.concatenate([starts, starts[-1] + np.cumsum(counts)])
-                at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-                ids, counts = take_lists(flat, starts, at)
-                yield pa.record_batch([pa.array([block]), pa.array([bucket], pa.int32()), pa.array([pack(ids)], pa.binary()), pa.array([pack(counts)], pa.binary())], ["block", "bucket", "ids", "counts"])
+                    ids.add(*encode_words(path, new))
+                flat, counts = take_lists(ids.flat, ids.starts, np.fromiter(map(known.__getitem__, listed), np.int64, len(listed)))
+                counts = pack(counts)
+                out.append(len(counts).to_bytes(8, "little") + counts + pack(flat))
+            yield _rows(block, bucket, n, out)
+
+    def block_of(name, expected, answers):
+        if len(answers) != expected:
+            raise RuntimeError(f"block {name} has {len(answers)} of {expected} lists: its input was not the same at each reading")
+        halves = [(unpack(x[8 : 8 + int.from_bytes(x[:8], "little")]), unpack(x[8 + int.from_bytes(x[:8], "little") :])) for x in answers]
+        counts = np.concatenate([c for c, _ in halves] or [np.zeros(0, "<u4")]).astype(np.int64)
+        ids = np.concatenate([i for _, i in halves] or [np.zeros(0, "<u4")]).astype(np.int32)
+        starts = np.concatenate([[0], np.cumsum(counts)])
+        keys, lengths, codes = _fetch(folder, name)
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        longest, step = max(1, int(np.ceil(counts[codes].mean())) if len(codes) else 1), 0
+        while step < len(lengths):  # some rows at a time
+            upto = max(step + 1, int(np.searchsorted(ends, ends[step] + BATCH_IDS // longest, "right")) - 1)
+            got, n = take_lists(ids, starts, codes[ends[step] : ends[upto]])
+            offsets = np.concatenate([[0], np.cumsum(n)])[ends[step : upto + 1] - ends[step]]
+            yield pa.record_batch([keys.slice(step, upto - step), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(got, pa.int32()))], [key, "ids"])
+            step = upto
 
     def together(batches):
+        # sorted by block and bucket: a block's own row comes first, then its answers
+        name, expected, answers = None, 0, []
         for batch in batches:
-            for row in batch.to_pylist():
-                found = sorted(row["found"] or [], key=lambda x: x["bucket"])
-                ids = np.concatenate([unpack(x["ids"]) for x in found] or [np.zeros(0, "<u4")]).astype(np.int32)
-                counts = np.concatenate([unpack(x["counts"]) for x in found] or [np.zeros(0, "<u4")]).astype(np.int64)
-                starts = np.concatenate([[0], np.cumsum(counts)])
-                answers, code, lengths = unpack(row["answers"]), unpack(row["codes"]), unpack(row["lengths"]).astype(np.int64)
-                ends = np.concatenate([[0], np.cumsum(lengths)])
-                step = 0
-                while step < len(lengths):  # some rows at a time
-                    upto = max(step + 1, int(np.searchsorted(ends, ends[step] + 500_000, "right")) - 1)
-                    flat, n = take_lists(ids, starts, answers[code[ends[step] : ends[upto]]].astype(np.int64))
-                    offsets = np.concatenate([[0], np.cumsum(n)])[ends[step : upto + 1] - ends[step]]
-                    yield pa.record_batch([pa.array(row["keys"][step:upto], key_type), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))], [key, "ids"])
-                    step = upto
+            for block, bucket, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if block != name:
+                    if name is not None:
+                        yield from block_of(name, expected, answers)
+                    name, expected, answers = block, -1, []
+                if bucket < 0:
+                    expected = n
+                else:
+                    answers.append(data)
+        if name is not None:
+            yield from block_of(name, expected, answers)
 
-    from pyspark.sql.pandas.types import to_arrow_type
+    row = "block string, bucket int, n int, data binary"
+    dealt = df.select("key", words.alias("words")).mapInArrow(lists_of_words, row).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    back = dealt.mapInArrow(encoded, row).repartition(parts, "block").sortWithinPartitions("block", "bucket")
+    return back.mapInArrow(together, T.StructType().add(key, kind).add("ids", T.ArrayType(T.IntegerType())))
 
-    key_type = to_arrow_type(kind)
-    found = (
-        split.mapInArrow(lists_of_words, "block string, bucket int, words binary")
-        .repartition(buckets, "bucket")
-        .mapInArrow(encoded, "block string, bucket int, ids binary, counts binary")
-        .groupBy("block")
-        .agg(F.collect_list(F.struct("bucket", "ids", "counts")).alias("found"))  # one entry a bucket
-    )
-    block = T.StructType().add("block", "string").add("keys", T.ArrayType(kind)).add("lengths", "binary").add("answers", "binary").add("codes", "binary")
-    out = T.StructType().add(key, kind).add("ids", T.ArrayType(T.IntegerType()))
-    return split.mapInArrow(codes, block).join(found, "block", "left").mapInArrow(together, out)
+
+def _rows(block: list, bucket: list, n: list, data: list) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(block, pa.string()), pa.array(bucket, pa.int32()), pa.array(n, pa.int32()), pa.array(data, pa.binary())], ["block", "bucket", "n", "data"])
+
+
+class _Lists:
+    """Lists of ids end to end; room doubles, so adding costs no more than what is added."""
+
+    def __init__(self):
+        self.flat, self.starts, self.n = np.zeros(1 << 12, np.int32), np.zeros(1 << 10, np.int64), 0
+
+    def add(self, ids: np.ndarray, counts: np.ndarray) -> None:
+        end, n = int(self.starts[self.n]), len(counts)
+        while len(self.flat) < end + len(ids):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while len(self.starts) < self.n + n + 1:
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        self.flat[end : end + len(ids)] = ids
+        self.starts[self.n + 1 : self.n + n + 1] = end + np.cumsum(counts)
+        self.n += n
 
 
 def take_lists(flat: np.ndarray, starts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -249,18 +298,30 @@ def pieces(path: str) -> pa.Array:
     return pa.array(found, pa.binary())
 
 
+@functools.lru_cache(maxsize=2)
+def _piece_table(path: str) -> pa.Table:
+    found = pieces(path)
+    return pa.table({"id": pa.array(np.arange(len(found), dtype=np.int32)), "piece": found})
+
+
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """Add `out`, the text of the ids, special tokens included; bytes that are no UTF-8 become U+FFFD."""
+    """Add `out`, the text of the ids, special tokens included; bytes that are no UTF-8 become U+FFFD.
+
+    Ids that the vocabulary doesn't have, and null ids, stand for nothing.
+    """
     columns = df.columns
     if out in columns:
         raise ValueError(f"the input has a column {out}")
     at = columns.index(ids)
 
-    def join(batches):
-        piece = pieces(path)
+    def each(batches):
+        table = _piece_table(path)
         for batch in batches:
             lists = batch.column(at)
-            flat = piece.take(_whole(lists.flatten()))
+            coded = pc.fill_null(_whole(lists.flatten()).cast(pa.int32()), -1).dictionary_encode()
+            asked = pa.table({"id": coded.dictionary, "place": pa.array(np.arange(len(coded.dictionary)))})
+            met = asked.join(table, "id", join_type="left outer", use_threads=False).sort_by("place")
+            flat = pc.fill_null(_whole(met["piece"]), b"").take(coded.indices)
             n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
             ends = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
             texts = pc.binary_join(pa.ListArray.from_arrays(ends, flat), b"")
@@ -270,4 +331,4 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
                 texts = pa.array([x.decode("utf-8", "replace") for x in texts.to_pylist()], pa.string())
             yield pa.record_batch([*batch.columns, texts], [*columns, out])
 
-    return df.mapInArrow(join, T.StructType(list(df.schema.fields)).add(out, "string"))
+    return df.mapInArrow(each, T.StructType(list(df.schema.fields)).add(out, "string"))

@@ -74,6 +74,13 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return "file://" + uri.removeprefix("file:") if uri.startswith("file:/") and not uri.startswith("file://") else uri
 
 
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new shared folder that goes when the driver ends, or earlier by `drop_folder`."""
+    path = new_folder(spark, kind)
+    _spilled[path] = spark
+    return path
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int, size: int = 6 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of `size` bytes of a text column at most, or one row."""
     for batch in batches:
@@ -109,9 +116,8 @@ def spill(df: DataFrame, kind: str) -> DataFrame:
     Smaller than a checkpoint; the files go when the driver ends.
     """
     spark = df.sparkSession
-    path = new_folder(spark, kind)
+    path = scratch(spark, kind)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    _spilled[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._spill_path = path
     return out
@@ -119,13 +125,14 @@ def spill(df: DataFrame, kind: str) -> DataFrame:
 
 def drop_spill(df: DataFrame) -> None:
     """Delete what `spill` wrote; nothing that still reads it may follow."""
-    _delete(df._spill_path)
+    drop_folder(df._spill_path)
 
 
 _spilled: dict[str, SparkSession] = {}
 
 
-def _delete(path: str) -> None:
+def drop_folder(path: str) -> None:
+    """Delete a folder of `scratch` and all in it."""
     spark = _spilled.pop(path)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
@@ -135,6 +142,6 @@ def _delete(path: str) -> None:
 def _remove_spilled() -> None:
     for path in list(_spilled):
         try:
-            _delete(path)
+            drop_folder(path)
         except Exception:  # the session has ended and its files with it, or the store is gone
             return

@@ -34,7 +34,7 @@ def _vocabulary(name: str) -> str:
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = _vocabulary("byte_bpe_50k.json")
-    return bpe.decode(bpe.encode(docs, path), path).select(
+    return bpe.decode(bpe.encode(docs, path, stable=True), path).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
