@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qualigraph.llm import bpe, collisions, dac, jaccard, packing, pii, quality, sharding, suffix, warc
-from qualigraph.llm.common import cut, free, new_folder, table
+from qualigraph.llm.common import cut, drop_folder, new_folder, scratch, table
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,19 +50,20 @@ ROT = "00"
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two replicas of all pages, one byte of some records changed in the second, and the audit's finding for each page and each extra record."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    made = warc.records(pages)
-    body = F.col("record")
-    rots = F.substring(F.md5(F.concat(F.lit("rot:"), F.col("key").cast("string")).cast("binary")), 1, 2) == ROT
-    half = F.floor(F.octet_length(body) / 2).cast("int")
-    worn = F.concat(F.substring(body, F.lit(1), half), F.lit(b"~"), F.expr("substring(record, cast(floor(octet_length(record) / 2) as int) + 2)"))
-    replica = made.withColumn("record", F.when(rots, worn).otherwise(body))
+    folder, copy = scratch(spark, "warc"), scratch(spark, "warc-copy")
+
+    def wear(key: str, record: bytes) -> bytes:
+        rots = hashlib.md5(f"rot:{key}".encode()).hexdigest()[:2] == ROT
+        half = len(record) // 2
+        return record[:half] + b"~" + record[half + 1 :] if rots else record
+
+    manifest = warc.write(warc.records(pages), folder)
+    manifests = [(folder, manifest), (copy, warc.replicate(folder, manifest, copy, wear))]
     found = []
-    for rows in (made, replica):
-        folder = new_folder(spark, "warc")
-        manifest = warc.write(rows, folder)
-        free(spark)  # the records' shuffle; the files stand for it now
-        found.append(cut(warc.read(spark, folder, manifest)))
-    return warc.report(*found).select(F.col("key").alias("page_id"), F.col("file").cast("long").alias("file"), "ordinal", "offset", "length", "digest", "status")
+    for where, files in manifests:
+        found.append(cut(warc.read(where, files)))
+        drop_folder(where)  # the digests stand for the files now
+    return warc.report(*found).select(F.col("key").alias("page_id"), "file", "ordinal", "offset", "length", "digest", "status")
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
