@@ -13,8 +13,9 @@ little-endian.
 Files are written in ascending key order: rows are dealt by ranges of the key, sorted
 inside a task, and cut into files of `file_ids` ids or one document. Executors write under
 unique names to the shared folder; only files that the winning attempts report are
-read, so lost executors and repeated attempts leave no doubled or half documents. The
-global start of a file is the sum of the ids before it: one row a file, never one a token.
+read, so lost executors and repeated attempts leave no doubled or half documents. A file's
+global start is the sum of the ids of the tasks before, a row for each task, and of its own
+task's files before it, which the task has counted: no sum goes over all files or tokens.
 
 Defined results: a null or empty text has the end id alone. Null keys come first. Rows with equal
 keys stay apart, in the order of their texts. Columns other than key and text are not
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from qualigraph.llm.bpe import encode_words, take_lists
@@ -40,7 +41,7 @@ from qualigraph.llm.common import cut, slices, text_or_empty
 
 MAGIC = b"QGDAC001"
 CHUNK_BITS = 8
-FILE_IDS = 1_000_000
+FILE_IDS = 4_000_000
 #: Bytes of text encoded at once; the positions of their ids take some thirty times that.
 BATCH_BYTES = 5 << 20
 #: Words whose ids a worker remembers between batches.
@@ -162,8 +163,9 @@ class _Memo:
 
 _memo = functools.lru_cache(maxsize=2)(_Memo)
 
-#: Letters in every version of Unicode; a full stop or comma after one is a word of its own.
-LETTER_AND_STOP = "[a-zß-öø-ſ][.,]$"
+#: A full stop or comma after one of these letters is a word of its own. They are letters in every version of
+#: Unicode and have one letter as their lower case; U+0130 has two characters, and the second takes the stop.
+LETTER_AND_STOP = "[a-zß-öø-\u012f\u0131-ſ][.,]$"
 
 
 def _encode_batch(path: str, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -194,7 +196,7 @@ def _encode_batch(path: str, texts: pa.Array, end_id: int) -> tuple[np.ndarray,
 def write(df: DataFrame, path: str, folder: str, end_id: int, key: str = "doc_id", text: str = "text", partitions: int | None = None, file_ids: int = FILE_IDS) -> DataFrame:
     """Encode with a vocabulary that drops white space, write files, return their manifest.
 
-    Manifest: part, number, path, n_docs, n_ids; (part, number) ascends with the key.
+    Manifest: part, number, path, n_docs, n_ids, before (ids of the part's files before); (part, number) ascends with the key.
     """
     spark = df.sparkSession
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -208,19 +210,19 @@ def write(df: DataFrame, path: str, folder: str, end_id: int, key: str = "doc_id
         from pyarrow import fs
         from pyspark import TaskContext
 
-        part, number = TaskContext.get().partitionId(), 0
+        part, number, before = TaskContext.get().partitionId(), 0, 0
         store, at = fs.FileSystem.from_uri(folder)
         held: list = []
 
         def out():
-            nonlocal number, held
+            nonlocal number, before, held
             keys = [k for x in held for k in x[0]]
             ids = np.concatenate([x[2] for x in held])
             name = f"{at}/{part:06d}-{number:06d}-{uuid.uuid4().hex}.dac"
             with store.open_output_stream(name) as f:
                 f.write(to_bytes(keys, np.concatenate([x[1] for x in held]), ids))
-            row = pa.record_batch([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([name.rpartition("/")[2]]), pa.array([len(keys)], pa.int64()), pa.array([len(ids)], pa.int64())], ["part", "number", "path", "n_docs", "n_ids"])
-            number, held = number + 1, []
+            row = pa.record_batch([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([name.rpartition("/")[2]]), pa.array([len(keys)], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([before], pa.int64())], ["part", "number", "path", "n_docs", "n_ids", "before"])
+            number, before, held = number + 1, before + len(ids), []
             return row
 
         for batch in slices(batches, 1, BATCH_BYTES):
@@ -239,24 +241,29 @@ def write(df: DataFrame, path: str, folder: str, end_id: int, key: str = "doc_id
             yield out()
 
     # the plan is run once, by the checkpoint: the manifest names the files of the attempts that counted
-    return cut(dealt.mapInArrow(files, "part int, number int, path string, n_docs long, n_ids long"))
+    return cut(dealt.mapInArrow(files, "part int, number int, path string, n_docs long, n_ids long, before long"))
 
 
-def read(spark: SparkSession, folder: str, manifest: DataFrame, checksums: bool = False) -> DataFrame:
+def read(folder: str, manifest: DataFrame, checksums: bool = False) -> DataFrame:
     """Read the manifest's files back: key, start (ids of all documents before), n_tokens, ids.
 
     With `checksums`, ids_crc32 stands for ids: the unsigned crc32 of a document's ids as
     little-endian unsigned 32-bit integers, taken where they are read.
     """
     last, shape = ("ids_crc32", "long") if checksums else ("ids", "array<long>")
-    before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
-    base = manifest.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
-    found = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("path"), "content")
+    # a row for each task that wrote files: no more than the partitions of `write`
+    parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    starts = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
+    placed = manifest.join(F.broadcast(starts), "part").select("path", (F.col("first") + F.col("before")).alias("base"))
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, at = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for base, data in zip(batch.column("base").to_pylist(), batch.column("content"), strict=True):
-                codes = Codes(data.as_buffer())
+            for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with store.open_input_stream(f"{at}/{path}", compression=None) as f:
+                    codes = Codes(f.read())
                 step = 0
                 while step < len(codes.keys):
                     upto = max(step + 1, int(np.searchsorted(codes.starts, codes.starts[step] + 200_000, "right")) - 1)
@@ -279,9 +286,5 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame, checksums: bool
                     )
                     step = upto
 
-    if base.isEmpty():
-        return spark.createDataFrame([], f"key long, start long, n_tokens long, {last} {shape}")
-    # one row a file on both sides; the files' bytes stay where they were read
-    joined = found.join(F.broadcast(base), "path") if base.count() <= 100_000 else found.join(base, "path")
-    return joined.select("base", "content").mapInArrow(documents, f"key long, start long, n_tokens long, {last} {shape}")
-
+    # a task reads the files that one task has written, one after the other
+    return placed.mapInArrow(documents, f"key long, start long, n_tokens long, {last} {shape}")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qualigraph.llm import bpe, collisions, dac, jaccard, packing, pii, quality, sharding, suffix, warc
-from qualigraph.llm.common import cut, drop_folder, new_folder, scratch, table
+from qualigraph.llm.common import cut, drop_folder, scratch, table
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,9 +72,9 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    folder = new_folder(spark, "dac")
+    folder = scratch(spark, "dac")
     manifest = dac.write(docs, _vocabulary("word_bpe_49k.json"), folder, end_id=2)
-    return dac.read(spark, folder, manifest, checksums=True).withColumnRenamed("key", "doc_id")
+    return dac.read(folder, manifest, checksums=True).withColumnRenamed("key", "doc_id")
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
