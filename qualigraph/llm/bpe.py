@@ -1,6 +1,6 @@
 """BPE encoding and decoding through a table of distinct words.
 
-Spark splits every text into words: a word starts at a blank that follows a character other
+Every text is split into words: a word starts at a blank that follows a character other
 than white space, so the tokenizer's own pre-tokenizer also cuts there and words can be
 encoded apart. A block is a run of rows of one task: its texts become positions in the block's
 own lists of distinct words, and these codes wait in a file of the shared folder. The lists
@@ -13,7 +13,7 @@ Decoding joins ids to pieces: each batch's distinct ids meet the id-to-piece tab
 each id of the vocabulary, a file of fixed size) in a hash join, and the pieces are put in the
 places of the ids.
 
-Memory: a block holds `BLOCK_WORDS` words at most, or one text if that is longer; a bucket of
+Memory: a block holds `BLOCK_WORDS` words at most, or `SLICE_BYTES` of texts, or one text if that is longer; a bucket of
 words holds one `buckets`-th of all distinct words; every row that is shuffled is a list of
 one bucket of one block.
 
@@ -44,11 +44,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from qualigraph.llm.common import cut, scratch, text_or_empty
+from qualigraph.llm.common import cut, scratch, slices, text_or_empty
 
-#: A blank after something else than white space starts a new word.
-WORD_START = r"(?U)(?<=\S)(?= )"
 BLOCK_WORDS = 1_000_000
+#: Bytes of text that are split at once.
+SLICE_BYTES = 4 << 20
 #: Tokens that one batch of results holds, or one row if that has more.
 BATCH_IDS = 500_000
 
@@ -112,23 +112,45 @@ def bucket_of(words: pa.Array, buckets: int) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words.to_pylist()), np.int32, len(words))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[pa.Array, pa.Array]]:
-    """(keys, lists of words), `limit` words at a time."""
+def _after_space(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character before each place is white space, by its UTF-8 bytes."""
+    one, two, three = data[at - 1], data[np.maximum(at - 2, 0)], data[np.maximum(at - 3, 0)]
+    found = ((one >= 0x09) & (one <= 0x0D)) | (one == 0x20)
+    found |= (two == 0xC2) & ((one == 0x85) | (one == 0xA0))  # U+0085, U+00A0
+    general = ((one >= 0x80) & (one <= 0x8A)) | (one == 0xA8) | (one == 0xA9) | (one == 0xAF)  # U+2000 to U+202F
+    found |= (three == 0xE2) & (((two == 0x80) & general) | ((two == 0x81) & (one == 0x9F)))
+    return found | ((three == 0xE1) & (two == 0x9A) & (one == 0x80)) | ((three == 0xE3) & (two == 0x80) & (one == 0x80))
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts end to end, and their number in each: a blank after something else than white space starts one."""
+    texts = texts.cast(pa.large_string())
+    if not len(texts):
+        return pa.array([], pa.large_string()), np.zeros(0, np.int64)
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    if bounds[0] == bounds[-1]:
+        return pa.array([], pa.large_string()), np.zeros(len(texts), np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)
+    blank = np.flatnonzero(data[bounds[0] : bounds[-1]] == 0x20) + bounds[0]
+    blank = blank[blank > 0]
+    starts = np.union1d(blank[~_after_space(data, blank)], bounds[:-1][np.diff(bounds) > 0])
+    words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, bounds[-1]).astype(np.int64)), texts.buffers()[2])
+    return words, np.diff(np.searchsorted(starts, bounds))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray]]:
+    """(keys, words of all texts, their numbers), `limit` words at a time, or one slice of texts."""
     held, n = [], 0
-    for batch in batches:
-        start = 0
-        lengths = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
-        for i, length in enumerate(lengths):
-            if n and n + length > limit:
-                held.append(batch.slice(start, i - start))
-                table = pa.Table.from_batches(held).combine_chunks()
-                yield table.column(0).combine_chunks(), table.column(1).combine_chunks()
-                held, n, start = [], 0, i
-            n += int(length)
-        held.append(batch.slice(start))
-    if held and sum(x.num_rows for x in held):
-        table = pa.Table.from_batches(held).combine_chunks()
-        yield table.column(0).combine_chunks(), table.column(1).combine_chunks()
+    together = lambda: (pa.concat_arrays([x[0] for x in held]), pa.concat_arrays([x[1] for x in held]), np.concatenate([x[2] for x in held]))
+    for batch in slices(batches, 1, min(SLICE_BYTES, 8 * limit)):
+        words, counts = split_words(batch.column(1))
+        if n and n + len(words) > limit:
+            yield together()
+            held, n = [], 0
+        held.append((batch.column(0), words, counts))
+        n += len(words)
+    if held:
+        yield together()
 
 
 def _whole(a: pa.Array) -> pa.Array:
@@ -180,12 +202,10 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", bu
         df = cut(df)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets, folder, key_type = buckets or max(8, parts), scratch(spark, "codes"), to_arrow_type(kind)
-    words = F.filter(F.split("text", WORD_START), lambda w: w != "")
 
     def lists_of_words(batches):
-        for number, (keys, lists) in enumerate(_blocks(batches, block_words)):
-            lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-            coded = _whole(lists.flatten()).dictionary_encode()
+        for number, (keys, words, lengths) in enumerate(_blocks(batches, block_words)):
+            coded = words.dictionary_encode()
             listed, indices = coded.dictionary, coded.indices.to_numpy()
             order, position, ends = _by_bucket(listed, buckets)
             content = hashlib.md5(str(keys.to_pylist()).encode())
@@ -252,7 +272,7 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", bu
             yield from block_of(name, expected, answers)
 
     row = "block string, bucket int, n int, data binary"
-    dealt = df.select("key", words.alias("words")).mapInArrow(lists_of_words, row).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    dealt = df.mapInArrow(lists_of_words, row).repartition(parts, "bucket").sortWithinPartitions("bucket")
     back = dealt.mapInArrow(encoded, row).repartition(parts, "block").sortWithinPartitions("block", "bucket")
     return back.mapInArrow(together, T.StructType().add(key, kind).add("ids", T.ArrayType(T.IntegerType())))
 
@@ -286,7 +306,6 @@ def take_lists(flat: np.ndarray, starts: np.ndarray, at: np.ndarray) -> tuple[np
     return flat[np.arange(total) + shift], counts
 
 
-@functools.lru_cache(maxsize=2)
 def pieces(path: str) -> pa.Array:
     """The bytes of each id of a byte-level vocabulary; ids that it doesn't have are empty."""
     visible = [*range(33, 127), *range(161, 173), *range(174, 256)]  # shown as themselves
@@ -298,12 +317,6 @@ def pieces(path: str) -> pa.Array:
     return pa.array(found, pa.binary())
 
 
-@functools.lru_cache(maxsize=2)
-def _piece_table(path: str) -> pa.Table:
-    found = pieces(path)
-    return pa.table({"id": pa.array(np.arange(len(found), dtype=np.int32)), "piece": found})
-
-
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Add `out`, the text of the ids, special tokens included; bytes that are no UTF-8 become U+FFFD.
 
@@ -312,10 +325,10 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
     columns = df.columns
     if out in columns:
         raise ValueError(f"the input has a column {out}")
-    at = columns.index(ids)
+    at, found = columns.index(ids), pieces(path)
+    table = pa.table({"id": pa.array(np.arange(len(found), dtype=np.int32)), "piece": found})
 
     def each(batches):
-        table = _piece_table(path)
         for batch in batches:
             lists = batch.column(at)
             coded = pc.fill_null(_whole(lists.flatten()).cast(pa.int32()), -1).dictionary_encode()

@@ -1,5 +1,11 @@
+import random
+import re
+
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
@@ -36,3 +42,29 @@ def test_empty_table_and_bytes_that_are_no_text(spark):
     df = spark.createDataFrame([(x,) for x in ids], "ids array<int>")
     got = [r.decoded for r in bpe.decode(df, PATH).collect()]
     assert got == [tok.decode(x or [], skip_special_tokens=False) for x in ids]
+
+
+def test_words_start_at_blanks_after_other_characters():
+    spaces = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2005\u200a\u2028\u2029\u202f\u205f\u3000"
+    others = "a.é中😀\u200b\u2010\u00c2\u180e\ufeff\u1681\u3001\x1c\x1f"
+    rng = random.Random(3)
+    texts = [None if i % 97 == 0 else "".join(rng.choice(rng.choice([spaces, others, " "])) for _ in range(rng.randrange(12))) for i in range(3000)]
+    texts = [t or "" for t in texts]
+    for part in (texts, texts[5:5], [""], texts[:40]):
+        words, counts = bpe.split_words(pa.array(part, pa.string()))
+        want = [[w for w in re.split(f"(?<=[^{spaces}])(?= )", t) if w] for t in part]
+        assert counts.tolist() == [len(w) for w in want] and words.to_pylist() == [w for x in want for w in x]
+    words, counts = bpe.split_words(pa.array(["x y", *texts]).slice(1, 50))
+    assert counts.sum() == len(words) and "".join(words.to_pylist()) == "".join(texts[:50])
+
+
+@given(st.lists(st.text(max_size=12), max_size=8))
+@settings(max_examples=200, deadline=None)
+def test_encoding_by_words_is_the_library_s(texts):
+    words, counts = bpe.split_words(pa.array(texts, pa.string()))
+    ids, sizes = bpe.encode_words(PATH, words.to_pylist())
+    tok, at = bpe.tokenizer(PATH), 0
+    ends = [0, *sizes.cumsum().tolist()]
+    for text, n in zip(texts, counts.tolist(), strict=True):
+        assert ids[ends[at] : ends[at + n]].tolist() == tok.encode(text, add_special_tokens=False).ids
+        at += n
