@@ -22,6 +22,7 @@ and repeated or null keys are kept. Extra columns pass through. Empty tables sta
 from __future__ import annotations
 
 import bisect
+import math
 import re
 from collections.abc import Iterable
 
@@ -141,31 +142,31 @@ class Tagger:
         self.p |= {"out": draw(2 * hidden, LABELS), "bias": np.zeros(LABELS, np.float32), "step": np.zeros((LABELS, LABELS), np.float32)}
         self.hidden = hidden
 
-    def _run(self, d: str, x: np.ndarray, keep: bool):
+    def _run(self, x: np.ndarray, keep: bool):
+        """States (time, direction, window, unit) of both directions at once; the second reads from the end."""
         n = self.hidden
-        table = self.p["embed"] @ self.p[f"x{d}"] + self.p[f"b{d}"]
-        order = range(len(x)) if d == "f" else range(len(x) - 1, -1, -1)
-        h = np.zeros((x.shape[1], n), np.float32)
+        tables = np.stack([self.p["embed"] @ self.p[f"x{d}"] + self.p[f"b{d}"] for d in "fb"])
+        inner, way = np.stack([self.p["hf"], self.p["hb"]]), np.arange(2)[:, None]
+        h = np.zeros((2, x.shape[1], n), tables.dtype)
         c = np.zeros_like(h)
-        hs, tape = np.empty((*x.shape, n), np.float32), []
-        for t in order:
-            z = table[x[t]] + h @ self.p[f"h{d}"]
-            gate = _sigmoid(z[:, : 3 * n])
-            i, f, o, g = gate[:, :n], gate[:, n : 2 * n], gate[:, 2 * n :], np.tanh(z[:, 3 * n :])
+        hs, tape = np.empty((len(x), *h.shape), tables.dtype), []
+        for t in range(len(x)):
+            z = tables[way, np.stack([x[t], x[-1 - t]])] + h @ inner
+            gate = _sigmoid(z[..., : 3 * n])
+            i, f, o, g = gate[..., :n], gate[..., n : 2 * n], gate[..., 2 * n :], np.tanh(z[..., 3 * n :])
             before, last = c, h
             c = f * c + i * g
             squashed = np.tanh(c)
             h = o * squashed
             hs[t] = h
             if keep:
-                tape.append((t, i, f, o, g, before, squashed, last))
+                tape.append((i, f, o, g, before, squashed, last))
         return hs, tape
 
     def scores(self, x: np.ndarray, keep: bool = False):
-        forward, one = self._run("f", x, keep)
-        backward, two = self._run("b", x, keep)
-        both = np.concatenate([forward, backward], 2)
-        return both @ self.p["out"] + self.p["bias"], both, one, two
+        hs, tape = self._run(x, keep)
+        both = np.concatenate([hs[:, 0], hs[::-1, 1]], 2)
+        return both @ self.p["out"] + self.p["bias"], both, tape
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
         """`scores` without a tape, in one tanh a step for all gates: a sigmoid is half of one plus a tanh of half its input.
@@ -247,7 +248,7 @@ class Tagger:
 
     def gradient(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log likelihood of the windows and its gradient."""
-        e, both, one, two = self.scores(x, True)
+        e, both, tape = self.scores(x, True)
         p, pairs, log_z = self.marginals(e)
         n = x.shape[1]
         gold = np.take_along_axis(e, y[..., None], 2)[..., 0].sum(0) + self.p["step"][y[:-1], y[1:]].sum(0)
@@ -258,21 +259,23 @@ class Tagger:
         np.add.at(seen, (y[:-1].ravel(), y[1:].ravel()), 1)
         flat = de.reshape(-1, LABELS)
         grads = {"out": both.reshape(len(flat), -1).T @ flat, "bias": flat.sum(0), "step": ((pairs - seen) / n).astype(np.float32)}
-        one_hot = (x.reshape(1, -1) == np.arange(CHARS)[:, None]).astype(de.dtype)
-        dboth, embed = de @ self.p["out"].T, np.zeros_like(self.p["embed"])
-        for d, tape, dh_out in (("f", one, dboth[..., : self.hidden]), ("b", two, dboth[..., self.hidden :])):
-            wh = self.p[f"h{d}"]
-            dwh, dzs = np.zeros_like(wh), np.empty((*x.shape, 4 * self.hidden), dboth.dtype)
-            dh, dc = np.zeros((n, self.hidden), np.float32), np.zeros((n, self.hidden), np.float32)
-            for t, i, f, o, g, before, squashed, last in reversed(tape):
-                dh = dh + dh_out[t]
-                dc = dc + dh * o * (1 - squashed**2)
-                dz = np.concatenate([dc * g * i * (1 - i), dc * before * f * (1 - f), dh * squashed * o * (1 - o), dc * i * (1 - g**2)], 1)
-                dwh += last.T @ dz
-                dzs[t] = dz
-                dh, dc = dz @ wh.T, dc * f
-            dtable = one_hot @ dzs.reshape(-1, 4 * self.hidden)
-            grads |= {f"h{d}": dwh, f"b{d}": dtable.sum(0), f"x{d}": self.p["embed"].T @ dtable}
+        dboth = de @ self.p["out"].T
+        dh_out = np.stack([dboth[..., : self.hidden], dboth[::-1, :, self.hidden :]], 1)
+        inner = np.stack([self.p["hf"], self.p["hb"]])
+        dwh, dzs = np.zeros_like(inner), np.empty((*dh_out.shape[:3], 4 * self.hidden), de.dtype)
+        dh, dc = np.zeros_like(dh_out[0]), np.zeros_like(dh_out[0])
+        for t in range(len(tape) - 1, -1, -1):
+            i, f, o, g, before, squashed, last = tape[t]
+            dh = dh + dh_out[t]
+            dc = dc + dh * o * (1 - squashed**2)
+            dz = np.concatenate([dc * g * i * (1 - i), dc * before * f * (1 - f), dh * squashed * o * (1 - o), dc * i * (1 - g**2)], 2)
+            dwh += last.transpose(0, 2, 1) @ dz
+            dzs[t] = dz
+            dh, dc = dz @ inner.transpose(0, 2, 1), dc * f
+        one_hot, embed = (x.reshape(1, -1) == np.arange(CHARS)[:, None]).astype(de.dtype), np.zeros_like(self.p["embed"])
+        for k, (d, dz) in enumerate((("f", dzs[:, 0]), ("b", dzs[::-1, 1]))):
+            dtable = one_hot @ dz.reshape(-1, 4 * self.hidden)
+            grads |= {f"h{d}": dwh[k], f"b{d}": dtable.sum(0), f"x{d}": self.p["embed"].T @ dtable}
             embed += dtable @ self.p[f"x{d}"].T
         grads["embed"] = embed
         return float((log_z - gold).mean()), grads
@@ -287,7 +290,7 @@ class Tagger:
                 pick = order[a : a + batch]
                 loss, grads = self.gradient(x[:, pick], y[:, pick])
                 total, n = total + loss * len(pick), n + 1
-                norm = np.sqrt(sum(float((g**2).sum()) for g in grads.values()))
+                norm = math.sqrt(sum(float((g**2).sum()) for g in grads.values()))  # a plain number leaves the arrays as narrow as they are
                 for k, g in grads.items():
                     g = g * min(1.0, 5 / (norm + 1e-9))
                     first[k] = 0.9 * first[k] + 0.1 * g
