@@ -44,13 +44,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from qualigraph.llm.common import cut, scratch, slices, text_or_empty
+from qualigraph.llm.common import cut, lean, scratch, slices, text_or_empty
 
 BLOCK_WORDS = 1_000_000
 #: Bytes of text that are split at once.
 SLICE_BYTES = 4 << 20
 #: Tokens that one batch of results holds, or one row if that has more.
-BATCH_IDS = 500_000
+BATCH_IDS = 300_000
 
 
 @functools.lru_cache(maxsize=4)
@@ -237,6 +237,7 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", bu
                 counts = pack(counts)
                 out.append(len(counts).to_bytes(8, "little") + counts + pack(flat))
             yield _rows(block, bucket, n, out)
+        tokenizer.cache_clear()  # the stages after this one don't need the vocabulary
 
     def block_of(name, expected, answers):
         if len(answers) != expected:
@@ -272,9 +273,9 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", bu
             yield from block_of(name, expected, answers)
 
     row = "block string, bucket int, n int, data binary"
-    dealt = df.mapInArrow(lists_of_words, row).repartition(parts, "bucket").sortWithinPartitions("bucket")
-    back = dealt.mapInArrow(encoded, row).repartition(parts, "block").sortWithinPartitions("block", "bucket")
-    return back.mapInArrow(together, T.StructType().add(key, kind).add("ids", T.ArrayType(T.IntegerType())))
+    dealt = df.mapInArrow(lean(lists_of_words), row).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    back = dealt.mapInArrow(lean(encoded), row).repartition(parts, "block").sortWithinPartitions("block", "bucket")
+    return back.mapInArrow(lean(together), T.StructType().add(key, kind).add("ids", T.ArrayType(T.IntegerType())))
 
 
 def _rows(block: list, bucket: list, n: list, data: list) -> pa.RecordBatch:
@@ -330,18 +331,21 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
 
     def each(batches):
         for batch in batches:
-            lists = batch.column(at)
-            coded = pc.fill_null(_whole(lists.flatten()).cast(pa.int32()), -1).dictionary_encode()
-            asked = pa.table({"id": coded.dictionary, "place": pa.array(np.arange(len(coded.dictionary)))})
-            met = asked.join(table, "id", join_type="left outer", use_threads=False).sort_by("place")
-            flat = pc.fill_null(_whole(met["piece"]), b"").take(coded.indices)
-            n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-            ends = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
-            texts = pc.binary_join(pa.ListArray.from_arrays(ends, flat), b"")
-            try:
-                texts = texts.cast(pa.string())
-            except pa.ArrowInvalid:
-                texts = pa.array([x.decode("utf-8", "replace") for x in texts.to_pylist()], pa.string())
-            yield pa.record_batch([*batch.columns, texts], [*columns, out])
-
-    return df.mapInArrow(each, T.StructType(list(df.schema.fields)).add(out, "string"))
+            n = pc.fill_null(pc.list_value_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+            ends, first = np.concatenate([[0], np.cumsum(n, dtype=np.int64)]), 0
+            while first < batch.num_rows:  # some rows at a time
+                upto = max(first + 1, int(np.searchsorted(ends, ends[first] + BATCH_IDS, "right")) - 1)
+                rows = batch.slice(first, upto - first)
+                coded = pc.fill_null(_whole(rows.column(at).flatten()).cast(pa.int32()), -1).dictionary_encode()
+                asked = pa.table({"id": coded.dictionary, "place": pa.array(np.arange(len(coded.dictionary)))})
+                met = asked.join(table, "id", join_type="left outer", use_threads=False).sort_by("place")
+                flat = pc.fill_null(_whole(met["piece"]), b"").take(coded.indices)
+                texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends[first : upto + 1] - ends[first], pa.int32()), flat), b"")
+                try:
+                    texts = texts.cast(pa.string())
+                except pa.ArrowInvalid:
+                    texts = pa.array([x.decode("utf-8", "replace") for x in texts.to_pylist()], pa.string())
+                yield pa.record_batch([*rows.columns, texts], [*columns, out])
+                first = upto
+
+    return df.mapInArrow(lean(each), T.StructType(list(df.schema.fields)).add(out, "string"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -81,6 +82,26 @@ def scratch(spark: SparkSession, kind: str) -> str:
     return path
 
 
+def lean(function):
+    """`function` of batches, with its memory given back to the system when a task ends.
+
+    A Python worker lives on after its task and would keep what its largest batch took, next to
+    the workers and the JVM of the stages that follow.
+    """
+
+    def each(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from function(batches)
+        finally:
+            gc.collect()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's; other systems do it themselves
+            if trim is not None:
+                trim(0)
+
+    return each
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int, size: int = 6 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of `size` bytes of a text column at most, or one row."""
     for batch in batches:
