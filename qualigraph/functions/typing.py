@@ -16,23 +16,33 @@ SAMPLE_ROWS = 4096
 
 
 def parse(c: Column, tag: str, scale: int = 18) -> Column:
-    """The typed value of a text, null where it isn't one. Strings keep their blanks."""
-    t = trim(c)
+    """The typed value of a text, null where it isn't one. Strings keep their blanks.
+
+    What is left of a text without its digits says whether it can be of the type, and a cast checks the rest;
+    regular expressions stand only where texts with exponents or underscores need them.
+    """
     if tag == "string":
         return c
+    t = trim(c)
+    left = F.translate(t, "0123456789", "")
     if tag == "boolean":
-        return F.when(lower_ascii(t) == "true", True).when(lower_ascii(t) == "false", False)
+        low = lower_ascii(t)
+        return F.when(low == "true", True).when(low == "false", False)
     if tag == "i64":
-        return F.when(t.rlike(r"\A[+-]?[0-9]+(_[0-9]+)*\z"), F.replace(t, F.lit("_"), F.lit("")).try_cast("bigint"))
+        grouped = F.when(t.rlike(r"\A[+-]?[0-9]+(_[0-9]+)*\z"), F.replace(t, F.lit("_"), F.lit("")).try_cast("bigint"))
+        return F.when(left.isin("", "+", "-"), t.try_cast("bigint")).when(F.contains(left, F.lit("_")), grouped)
     if tag == "decimal":
-        return F.when(t.rlike(r"\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)\z"), t.try_cast(f"decimal(38,{scale})"))
+        return F.when(left.isin("", ".", "+", "-", "+.", "-."), t.try_cast(f"decimal(38,{scale})"))
     if tag == "f64":
-        number = F.when(t.rlike(r"\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"), t.try_cast("double"))
+        plain = F.when(left.isin("", ".", "+", "-", "+.", "-."), t.try_cast("double"))
+        number = plain.when(t.rlike(r"\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)[eE][+-]?[0-9]+\z"), t.try_cast("double"))
         return F.when(F.abs(number) < float("inf"), number)
+    at = lambda k, mark: F.substring(t, k, 1) == mark
     if tag == "date":
-        return F.when(t.rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z"), t.try_cast("date"))
+        return F.when((left == "--") & (F.length(t) == 10) & at(5, "-") & at(8, "-"), t.try_cast("date"))
     if tag == "datetime":
-        return F.when(t.rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z\z"), t.try_cast("timestamp"))
+        shaped = (left == "--T::Z") & (F.length(t) == 20) & at(5, "-") & at(8, "-") & at(11, "T") & at(14, ":") & at(17, ":") & at(20, "Z")
+        return F.when(shaped, t.try_cast("timestamp"))
     raise ValueError(f"unknown type {tag}")
 
 
@@ -93,3 +103,11 @@ def invalid_counts(df: DataFrame, fields: list[Field]) -> DataFrame:
     counts = [F.sum((F.col(f"`{f.name}`").isNotNull() & parse(F.col(f"`{f.name}`").cast("string"), f.tag).isNull()).cast("long")).alias(f"_{i}") for i, f in enumerate(fields)]
     one = df.agg(*counts)
     return one.select(F.explode(F.array(*[F.struct(F.lit(f.name).alias("column_name"), F.coalesce(f"_{i}", F.lit(0)).cast("long").alias("invalid_count")) for i, f in enumerate(fields)])).alias("s")).select("s.*")
+
+
+def inferred(df: DataFrame, sample_rows: int = SAMPLE_ROWS, confidence: float = 1.0, batch_size: int = 1024) -> tuple[DataFrame, dict]:
+    """(typed rows, report): schema from the first rows, then rows, batches and invalid texts over all of them."""
+    fields = infer(df, sample_rows, confidence)
+    invalid = invalid_counts(df, fields)
+    rows = df.count()
+    return convert(df, fields), {"rows": rows, "batches": -(-rows // batch_size), "invalid": {r["column_name"]: r["invalid_count"] for r in invalid.collect()}, "schema": [(f.name, f.tag, f.nullable) for f in fields]}

@@ -47,8 +47,16 @@ def params_hash(transforms: list[Transform]) -> str:
     return hashlib.sha256(json.dumps([asdict(t) for t in transforms], sort_keys=True).encode()).hexdigest()
 
 
+def fnv1a(data: bytes) -> int:
+    """The 64-bit FNV-1a hash."""
+    h = 0xCBF29CE484222325
+    for b in data:
+        h = (h ^ b) * 0x100000001B3 & (1 << 64) - 1
+    return h
+
+
 def schema_hash(schema: T.StructType) -> str:
-    return hashlib.sha256(json.dumps([[f.name, f.dataType.simpleString(), f.nullable] for f in schema.fields]).encode()).hexdigest()
+    return f"{fnv1a(json.dumps([[f.name, f.dataType.simpleString(), f.nullable] for f in schema.fields]).encode()):016x}"
 
 
 def clean(df: DataFrame, transforms: list[Transform]) -> DataFrame:

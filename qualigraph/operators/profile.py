@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from qualigraph.functions.text import PATTERNS
-from qualigraph.operators.lineage import checkpointed
+from qualigraph.operators.clean import schema_hash
+from qualigraph.operators.lineage import checkpointed, spread
 
 EXACT_DISTINCT = 10_000
 PATTERN_ROWS = 4096
@@ -65,6 +66,11 @@ def lengths(df: DataFrame) -> DataFrame:
     return _stack(df.agg(*parts), len(parts))
 
 
+def _sketch(c: Column) -> Column:
+    """Distinct values by a HyperLogLog sketch of 2**14 registers: one binary buffer a column, where the built-in estimate keeps thousands of fields."""
+    return F.coalesce(F.hll_sketch_estimate(F.hll_sketch_agg(c.cast("string"), F.lit(14))), F.lit(0)).cast("long")
+
+
 def _exact_small(df: DataFrame, columns: list[str]) -> dict[str, int]:
     """Exact distinct counts of columns known to have few values: sets in one pass, no row is expanded or shuffled."""
     if not columns:
@@ -81,7 +87,7 @@ def distinct(df: DataFrame, columns: list[str] | None = None, exact_up_to: int =
     distinct is shuffled.
     """
     columns = columns or df.columns
-    sketched = df.agg(*[F.approx_count_distinct(f"`{c}`", 0.00864).alias(f"_{i}") for i, c in enumerate(columns)]).first()
+    sketched = df.agg(*[_sketch(F.col(f"`{c}`")).alias(f"_{i}") for i, c in enumerate(columns)]).first()
     exact = _exact_small(df, [c for i, c in enumerate(columns) if sketched[f"_{i}"] <= exact_up_to * 1.1])
     rows = [(c, exact[c], "exact") if exact.get(c, exact_up_to + 1) <= exact_up_to else (c, sketched[f"_{i}"], "approximate") for i, c in enumerate(columns)]
     return df.sparkSession.createDataFrame(rows, "column_name string, distinct_count long, mode string")
@@ -97,7 +103,7 @@ def distinct_exact(df: DataFrame, columns: list[str] | None = None) -> DataFrame
 def distinct_sketch(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column_name, distinct_count) from HyperLogLog sketches of 2**14 registers."""
     columns = columns or df.columns
-    one = df.agg(*[F.struct(F.lit(c).alias("column_name"), F.hll_sketch_estimate(F.hll_sketch_agg(F.col(f"`{c}`").cast("string"), F.lit(14))).alias("distinct_count")).alias(f"_{i}") for i, c in enumerate(columns)])
+    one = df.agg(*[F.struct(F.lit(c).alias("column_name"), _sketch(F.col(f"`{c}`")).alias("distinct_count")).alias(f"_{i}") for i, c in enumerate(columns)])
     return _stack(one, len(columns))
 
 
@@ -113,34 +119,51 @@ def patterns(df: DataFrame, column: str, order: str, rows: int = PATTERN_ROWS, s
 
 REPORT = (
     "column_name string, type string, row_count long, null_count long, null_rate double, distinct_count long, mode string, "
-    "min double, max double, mean double, variance double, min_decimal string, max_decimal string, min_bytes long, max_bytes long, mean_bytes double"
+    "min double, max double, mean double, variance double, min_decimal string, max_decimal string, min_bytes long, max_bytes long, mean_bytes double, "
+    "pattern string, batches long, schema_hash string"
 )
 
 
-def report(df: DataFrame, exact_up_to: int = EXACT_DISTINCT) -> DataFrame:
+def _best_pattern(row, i: int, share: float = PATTERN_SHARE) -> str | None:
+    counts = {p: row[f"{p}{i}"] or 0 for p in PATTERNS}
+    best = max(counts, key=lambda p: counts[p])  # the first in the list among equals
+    return best if counts[best] and counts[best] >= share * row[f"sampled{i}"] else None
+
+
+def report(df: DataFrame, exact_up_to: int = EXACT_DISTINCT, order: str | None = None, batch_size: int = 1024) -> DataFrame:
     """The whole profile, a row for each column: one pass for all statistics, a second for exact small distinct counts.
 
-    What comes to the driver is one row of aggregates.
+    Patterns are those of the first `PATTERN_ROWS` values by `order`, or of as many rows that come first in the plan.
+    What comes to the driver are rows of aggregates.
     """
+    source, df = df, spread(df)
     parts, nothing = [F.count("*").alias("rows")], F.lit(None)
     for i, f in enumerate(df.schema.fields):
         c = F.col(f"`{f.name}`")
         n, exact, text = _numeric(c, f.dataType), isinstance(f.dataType, T.DecimalType), isinstance(f.dataType, T.StringType)
         size = F.octet_length(c).cast("long") if text else None
-        parts += [
-            F.count(c).alias(f"present{i}"),
-            F.approx_count_distinct(c, 0.00864).alias(f"distinct{i}"),
-            F.struct(*[(g(n) if n is not None else nothing.cast("double")).alias(k) for k, g in (("min", F.min), ("max", F.max), ("mean", F.avg), ("variance", F.var_samp))]).alias(f"number{i}"),
-            F.struct(*[(g(c).cast("string") if exact else nothing.cast("string")).alias(k) for k, g in (("min", F.min), ("max", F.max))]).alias(f"decimal{i}"),
-            F.struct(*[(g(size) if text else nothing).cast(kind).alias(k) for k, g, kind in (("min", F.min, "long"), ("max", F.max, "long"), ("mean", F.avg, "double"))]).alias(f"text{i}"),
-        ]
+        parts += [F.count(c).alias(f"present{i}"), _sketch(c).alias(f"distinct{i}")]
+        if n is not None:
+            parts += [g(n).alias(f"{k}{i}") for k, g in (("min", F.min), ("max", F.max), ("mean", F.avg), ("variance", F.var_samp))]
+        if exact:
+            parts += [g(c).cast("string").alias(f"{k}_decimal{i}") for k, g in (("min", F.min), ("max", F.max))]
+        if text:
+            parts += [g(size).cast(kind).alias(f"{k}_bytes{i}") for k, g, kind in (("min", F.min, "long"), ("max", F.max, "long"), ("mean", F.avg, "double"))]
     one = df.agg(*parts).first()
     small = _exact_small(df, [f.name for i, f in enumerate(df.schema.fields) if one[f"distinct{i}"] <= exact_up_to * 1.1])
-    rows = []
+    texts = [(i, f.name) for i, f in enumerate(df.schema.fields) if isinstance(f.dataType, T.StringType)]
+    found = {}
+    for i, name in texts:
+        first = source.where(F.col(f"`{name}`").isNotNull()).select(*{name, order} - {None})
+        first = (first.orderBy(order) if order else first).limit(PATTERN_ROWS)
+        found[i] = first.agg(F.count("*").alias(f"sampled{i}"), *[F.sum(PATTERNS[p](F.col(f"`{name}`")).cast("long")).alias(f"{p}{i}") for p in PATTERNS])
+    rows, known = [], one.asDict()
     for i, f in enumerate(df.schema.fields):
         missing = one["rows"] - one[f"present{i}"]
         count, mode = (small[f.name], "exact") if small.get(f.name, exact_up_to + 1) <= exact_up_to else (one[f"distinct{i}"], "approximate")
-        rows.append((f.name, f.dataType.simpleString(), one["rows"], missing, missing / one["rows"] if one["rows"] else 0.0, count, mode, *one[f"number{i}"], *one[f"decimal{i}"], *one[f"text{i}"]))
+        values = [known.get(f"{k}{i}") for k in ("min", "max", "mean", "variance", "min_decimal", "max_decimal", "min_bytes", "max_bytes", "mean_bytes")]
+        pattern = _best_pattern(found[i].first(), i) if i in found else None
+        rows.append((f.name, f.dataType.simpleString(), one["rows"], missing, missing / one["rows"] if one["rows"] else 0.0, count, mode, *values, pattern, -(-one["rows"] // batch_size), schema_hash(df.schema)))
     return df.sparkSession.createDataFrame(rows, REPORT)
 
 

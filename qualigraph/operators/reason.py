@@ -13,6 +13,11 @@ from qualigraph.operators.lineage import checkpointed
 
 MOST_ITERATIONS = 8
 MOST_ASSERTIONS = 10_000
+MOST_OBJECTS = 100_000
+
+
+class ReasoningError(ValueError):
+    pass
 
 
 @dataclass(frozen=True)
@@ -29,39 +34,64 @@ class Condition:
 
 @dataclass(frozen=True)
 class Rule:
+    """Conditions on one subject and what follows; `copy_from` takes the value of that condition's premise instead of `value`."""
+
     id: str
     conditions: tuple[Condition, ...]
     predicate: str
-    value: str
+    value: str | None = None
     version: int = 1
     confidence: float = 1.0
+    copy_from: str | None = None
+    value_type: str = "string"
+
+    def __post_init__(self):
+        if (self.value is None) == (self.copy_from is None):
+            raise ReasoningError(f"{self.id}: a conclusion has a value or copies one")
+        if not self.conditions or (self.copy_from and self.copy_from not in [c.predicate for c in self.conditions]):
+            raise ReasoningError(f"{self.id}: a copied value comes from a condition")
+        if not 0 <= self.confidence <= 1:
+            raise ReasoningError(f"{self.id}: confidence is between 0 and 1")
+
+    def check(self, declared: dict[str, str]) -> None:
+        """Refuse predicates that a type doesn't declare, and conclusions of another type of value."""
+        if unknown := sorted({c.predicate for c in self.conditions} - set(declared)):
+            raise ReasoningError(f"{self.id}: conditions on undeclared {', '.join(unknown)}")
+        if declared.get(self.predicate) != self.value_type:
+            raise ReasoningError(f"{self.id}: the conclusion {self.predicate} is not declared as {self.value_type}")
 
 
 #: What an assertion carries into its conclusions, and what stands for a column that the table lacks.
-CARRIED = {"confidence": ("decimal(19,18)", 1), "observed_at": ("timestamp", None), "valid_from": ("timestamp", None), "valid_to": ("timestamp", None)}
+CARRIED = {"confidence": ("decimal(19,18)", 1), "observed_at": ("timestamp", None), "valid_from": ("timestamp", None), "valid_to": ("timestamp", None), "mapping_version": ("integer", 1)}
 
 
 def _premises(facts: DataFrame, rule: Rule) -> DataFrame:
     """(subject_id, p0, p1, …): one assertion (its id and what it carries) for each condition, the one with the smallest id."""
     out = None
     for i, c in enumerate(rule.conditions):
-        one = facts.where(c.holds()).groupBy("subject_id").agg(F.min(F.struct("assertion_id", *CARRIED)).alias(f"p{i}"))
+        one = facts.where(c.holds()).groupBy("subject_id").agg(F.min(F.struct("assertion_id", "value", *CARRIED)).alias(f"p{i}"))
         out = one if out is None else out.join(one, "subject_id")
     return out
 
 
-def apply(assertion: DataFrame, rules: list[Rule], most_iterations: int = MOST_ITERATIONS, most_assertions: int | None = MOST_ASSERTIONS) -> tuple[DataFrame, int]:
+def apply(assertion: DataFrame, rules: list[Rule], most_iterations: int = MOST_ITERATIONS, most_assertions: int | None = MOST_ASSERTIONS, most_objects: int | None = MOST_OBJECTS, declared: dict[str, str] | None = None) -> tuple[DataFrame, int]:
     """(inferred facts, iterations): rules run until nothing new appears or a limit is reached.
 
     Facts: assertion_id, subject_id, predicate, value, rule_id, iteration, premises, and
-    confidence (the least of the premises times the rule's), observed_at (the latest), valid_from
-    and valid_to (the common part of the premises; nothing is inferred if it is empty). Facts of
-    an iteration are seen in the next one only; a fact that is active already is not
-    inferred again. Truncation at the limit (None: no limit) is in (subject, rule, version) order.
+    confidence (the least of the premises times the rule's), observed_at and mapping_version (the
+    greatest), valid_from and valid_to (the common part of the premises; nothing is inferred if it
+    is empty). Facts of an iteration are seen in the next one only; a fact that is active already
+    is not inferred again. Truncation at the limit (None: no limit) is in (subject, rule, version)
+    order; `most_objects` subjects, the first by id, are looked at. `declared` maps the predicates of
+    the subjects' type to their types of value, against which rules are checked.
     """
+    for r in rules if declared is not None else ():
+        r.check(declared)
     # every rule of every iteration reads the facts: they are cut from their lineage once
     carried = [F.coalesce(F.col(c) if c in assertion.columns else F.lit(None), F.lit(default)).cast(kind).alias(c) for c, (kind, default) in CARRIED.items()]
     live = checkpointed(active(assertion).select("assertion_id", "subject_id", "predicate", "value", *carried))
+    if most_objects is not None:
+        live = checkpointed(live.join(live.select("subject_id").distinct().orderBy("subject_id").limit(most_objects), "subject_id", "left_semi").select(*live.columns))
     inferred, left, n = None, most_assertions, 0
     for n in range(1, most_iterations + 1):
         facts = live if inferred is None else live.unionByName(inferred.select(*live.columns))
@@ -69,15 +99,17 @@ def apply(assertion: DataFrame, rules: list[Rule], most_iterations: int = MOST_I
         for r in sorted(rules, key=lambda r: (r.id, r.version)):
             premises = _premises(facts, r)
             names = [f"p{i}" for i in range(len(r.conditions))]
-            known = facts.where((F.col("predicate") == r.predicate) & (F.col("value") == r.value)).select("subject_id")
+            source = next((p for p, c in zip(names, r.conditions, strict=True) if c.predicate == r.copy_from), None)
+            premises = premises.withColumn("value", F.lit(r.value) if source is None else F.col(f"{source}.value"))
+            known = facts.where(F.col("predicate") == r.predicate).select("subject_id", "value")
             ids = [F.col(f"{p}.assertion_id") for p in names]
-            sure, seen, starts, ends = ([F.col(f"{p}.{c}") for p in names] for c in CARRIED)
+            sure, seen, starts, ends, versions = ([F.col(f"{p}.{c}") for p in names] for c in CARRIED)
             low, high = _common(starts, ends)
-            new = premises.join(known, "subject_id", "left_anti").where(F.coalesce(low <= high, F.lit(True))).select(
+            new = premises.join(known, ["subject_id", "value"], "left_anti").where(F.coalesce(low <= high, F.lit(True))).select(
                 uuid5(NAMESPACE, F.concat_ws(":", F.lit(f"{r.id}@{r.version}"), "subject_id", *ids)).alias("assertion_id"),
                 "subject_id",
                 F.lit(r.predicate).alias("predicate"),
-                F.lit(r.value).alias("value"),
+                "value",
                 F.lit(r.id).alias("rule_id"),
                 F.lit(r.version).alias("rule_version"),
                 F.lit(n).alias("iteration"),
@@ -86,6 +118,7 @@ def apply(assertion: DataFrame, rules: list[Rule], most_iterations: int = MOST_I
                 F.greatest(*seen, seen[0]).alias("observed_at"),
                 low.alias("valid_from"),
                 high.alias("valid_to"),
+                F.greatest(*versions, versions[0]).alias("mapping_version"),
             )
             found = new if found is None else found.unionByName(new)
         # two rules with one conclusion: the first one's fact stands
@@ -152,8 +185,24 @@ def conflicts(decision: DataFrame) -> DataFrame:
     return both.groupBy("object_id").agg(F.count_distinct("canonical_id").alias("canonical_ids")).where("canonical_ids > 1")
 
 
-def resolve(objects: DataFrame, decision: DataFrame) -> DataFrame:
-    """(object_id, canonical_id): one hop to the canonical id, or the object's own."""
+def resolve(objects: DataFrame, decision: DataFrame, on_conflict: str = "error") -> DataFrame:
+    """(object_id, canonical_id): one hop to the canonical id, or the object's own.
+
+    An object merged into several canonical ones raises; with `least` the smallest of them stands.
+    """
+    if on_conflict not in ("error", "least"):
+        raise ValueError(f"unknown way with conflicts {on_conflict}")
     both = decision.where("decision = 'merge'").select(F.explode(F.array("left_id", "right_id")).alias("object_id"), "canonical_id")
-    first = both.groupBy("object_id").agg(F.min("canonical_id").alias("canonical_id"))
+    one = F.min("canonical_id")
+    if on_conflict == "error":
+        one = F.when(one == F.max("canonical_id"), one).otherwise(F.raise_error(F.concat(F.lit("conflicting merges of "), F.first("object_id"))).cast("string"))
+    first = both.groupBy("object_id").agg(one.alias("canonical_id"))
     return objects.select("object_id").join(first, "object_id", "left").select("object_id", F.coalesce("canonical_id", "object_id").alias("canonical_id"))
+
+
+def get_object(objects: DataFrame, decision: DataFrame, ids: DataFrame, on_conflict: str = "error") -> DataFrame:
+    """The rows of `objects` that `ids` (object_id) name: the canonical object if there is one, else the one named."""
+    asked = resolve(ids, decision, on_conflict).withColumnRenamed("object_id", "asked_id")
+    canonical = asked.join(objects.withColumnRenamed("object_id", "canonical_id"), "canonical_id", "left_semi").select("asked_id", F.col("canonical_id").alias("object_id"))
+    own = asked.join(canonical, "asked_id", "left_anti").select("asked_id", F.col("asked_id").alias("object_id"))
+    return canonical.unionByName(own).join(objects, "object_id")

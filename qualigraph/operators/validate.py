@@ -1,11 +1,11 @@
-"""Declarative rules compiled into one projection; uniqueness by a window over its key."""
+"""Declarative rules compiled into one projection; uniqueness by the least offset of each key."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,14 +85,16 @@ def _codes(r: Rule, kind: T.DataType) -> list[tuple[Column, str]]:
         return [(~PATTERNS[r.pattern](c), "pattern_mismatch")]
     if r.tag == "regex":
         return [(~matches_regex(c, r.regex), "regex_mismatch")]
-    return [(F.col(f"_nth_{r.id}") > 1, "duplicate_value")]
+    raise RuleError(f"{r.tag} looks at more than one row")
 
 
 def violations(df: DataFrame, rules: list[Rule], offset: str) -> DataFrame:
     """(offset, rule_id, column_name, code), in row and then rule order if sorted by offset and ordinal.
 
-    Row rules are one projection and an explode of what fired. Each unique rule adds one
-    shuffle on its key; nulls are taken out before it, so they can't pile up in one task.
+    Row rules are one projection and an explode of what fired. Each unique rule takes the least
+    offset of each key, with partial minima before the shuffle, and joins it back: a hot value is one
+    row on one side and split by AQE on the other, and few values are broadcast. Offsets name rows,
+    so no two rows have one; nulls are taken out first.
     """
     check(rules, df.schema)
     kinds = {f.name: f.dataType for f in df.schema.fields}
@@ -109,8 +111,8 @@ def violations(df: DataFrame, rules: list[Rule], offset: str) -> DataFrame:
     for n, r in enumerate(rules):
         if r.tag == "unique":
             key = df.where(F.col(f"`{r.column}`").isNotNull()).select(F.col(offset).alias("offset"), F.col(f"`{r.column}`").alias("key"))
-            nth = F.row_number().over(Window.partitionBy("key").orderBy("offset"))
-            again = key.withColumn("nth", nth).where("nth > 1")
+            least = key.groupBy("key").agg(F.min("offset").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+            again = key.join(least, "key").where("offset != first")
             parts.append(again.select("offset", F.lit(n).alias("ordinal"), F.lit(r.id).cast("long").alias("rule_id"), F.lit(r.column).alias("column_name"), F.lit("duplicate_value").alias("code")))
     out = parts[0]
     for p in parts[1:]:

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 
 from qualigraph.functions import typing
 from qualigraph.operators import clean, profile, validate
+from qualigraph.operators.lineage import spread
+from qualigraph.sources import sinks
 
 
 class PipelineError(ValueError):
@@ -23,6 +25,7 @@ class Result:
     profile: DataFrame | None
     violations: DataFrame | None
     cleaned: DataFrame
+    metrics: dict
 
 
 class Pipeline:
@@ -65,14 +68,16 @@ class Pipeline:
         if self._ran:
             raise PipelineError("PipelineAlreadyRun")
         self._ran = True
-        typed = typing.convert(self._source, self._fields) if self._fields else self._source
+        source = spread(self._source)
+        typed = typing.convert(source, self._fields) if self._fields else source
         kept = typed.persist(StorageLevel.MEMORY_AND_DISK) if self._profile or self._rules else typed
         cleaned = clean.clean(kept, self._transforms) if self._transforms else kept
-        self._sink(cleaned)
+        metrics = sinks.measured(cleaned, self._sink)
         return Result(
-            kept.count(),
+            metrics["rows"],
             typing.invalid_counts(self._source, self._fields) if self._fields else None,
             profile.report(kept) if self._profile else None,
             validate.violations(kept, self._rules, self._offset) if self._rules else None,
             cleaned,
+            metrics,
         )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 WIDER = {("integer", "decimal"), ("date", "datetime"), ("enum", "string")}
 
@@ -34,15 +34,52 @@ class ObjectType:
             raise ValueError(f"{self.name}: identity needs declared properties")
 
 
+@dataclass(frozen=True)
+class RelationType:
+    name: str
+    source: str
+    target: str
+    directed: bool = True
+    cardinality: str = "n-n"
+    temporal: bool = False
+    properties: tuple[PropertyType, ...] = ()
+
+
+def _rows(properties: tuple[PropertyType, ...]) -> list:
+    return sorted([p.name, p.value_type, p.required, p.nullable, p.unique, p.many, p.default] for p in properties)
+
+
 @dataclass(frozen=True)
 class Definition:
     name: str
     version: int
     types: tuple[ObjectType, ...]
+    relations: tuple[RelationType, ...] = ()
+
+    def __post_init__(self):
+        known = {t.name for t in self.types}
+        names = [t.name for t in (*self.types, *self.relations)]
+        if len(set(names)) != len(names):
+            raise ValueError(f"{self.name}: a type is declared twice")
+        for r in self.relations:
+            if not {r.source, r.target} <= known:
+                raise ValueError(f"{r.name}: its ends need declared types")
+
+    def body(self) -> str:
+        """Canonical JSON: equal definitions have equal texts, whatever the order of their types."""
+        objects = [[t.name, _rows(t.properties), list(t.identity)] for t in sorted(self.types, key=lambda t: t.name)]
+        relations = [[r.name, r.source, r.target, r.directed, r.cardinality, r.temporal, _rows(r.properties)] for r in sorted(self.relations, key=lambda r: r.name)]
+        return json.dumps([self.name, self.version, objects, relations], separators=(",", ":"))
 
     def digest(self) -> str:
-        body = [[t.name, sorted([p.name, p.value_type, p.required, p.nullable, p.unique, p.many, p.default] for p in t.properties), list(t.identity)] for t in sorted(self.types, key=lambda t: t.name)]
-        return hashlib.sha256(json.dumps([self.name, self.version, body], separators=(",", ":")).encode()).hexdigest()
+        return hashlib.sha256(self.body().encode()).hexdigest()
+
+
+def manifest(definition: Definition, mapping) -> dict[str, str]:
+    """What a stored graph has to be read with: digests of the definition, the mapping and both together."""
+    described = json.dumps(asdict(mapping), sort_keys=True, separators=(",", ":"), default=str)
+    both = [definition.digest(), hashlib.sha256(described.encode()).hexdigest()]
+    return {"definition": both[0], "mapping": both[1], "digest": hashlib.sha256(json.dumps(both).encode()).hexdigest()}
 
 
 @dataclass(frozen=True)
@@ -55,19 +92,35 @@ class Change:
 def differences(old: Definition, new: Definition) -> list[Change]:
     """All changes, in the order of their paths."""
     out = []
-    before, after = {t.name: t for t in old.types}, {t.name: t for t in new.types}
-    for name in sorted(before.keys() | after.keys()):
-        if name not in after:
-            out.append(Change(name, "type removed", True))
-        elif name not in before:
-            out.append(Change(name, "type added", False))
-        else:
-            out += _properties(name, before[name], after[name])
-    return out
-
-
-def _properties(name: str, old: ObjectType, new: ObjectType) -> list[Change]:
-    out = [Change(name, "identity changed", True)] if old.identity != new.identity else []
+    for before, after, compare in ((old.types, new.types, _objects), (old.relations, new.relations, _relations)):
+        before, after = {t.name: t for t in before}, {t.name: t for t in after}
+        for name in before.keys() | after.keys():
+            if name not in after:
+                out.append(Change(name, "type removed", True))
+            elif name not in before:
+                out.append(Change(name, "type added", False))
+            else:
+                out += compare(name, before[name], after[name])
+    return sorted(out, key=lambda c: (c.path, c.what))
+
+
+def _objects(name: str, old: ObjectType, new: ObjectType) -> list[Change]:
+    identity = [Change(name, "identity changed", True)] if old.identity != new.identity else []
+    return identity + _properties(name, old, new)
+
+
+def _relations(name: str, old: RelationType, new: RelationType) -> list[Change]:
+    out = [Change(name, f"{end} changed", True) for end in ("source", "target", "directed") if getattr(old, end) != getattr(new, end)]
+    if old.cardinality != new.cardinality:  # a wider side holds what the narrower one held
+        wider = all(b in (a, "n") for a, b in zip(old.cardinality.split("-"), new.cardinality.split("-"), strict=True))
+        out.append(Change(name, f"cardinality {old.cardinality} to {new.cardinality}", not wider))
+    if old.temporal != new.temporal:
+        out.append(Change(name, f"temporal {'set' if new.temporal else 'dropped'}", old.temporal))
+    return out + _properties(name, old, new)
+
+
+def _properties(name: str, old, new) -> list[Change]:
+    out = []
     before, after = {p.name: p for p in old.properties}, {p.name: p for p in new.properties}
     for key in sorted(before.keys() | after.keys()):
         path, a, b = f"{name}.{key}", before.get(key), after.get(key)

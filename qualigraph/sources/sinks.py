@@ -10,9 +10,15 @@ CONTRACT_VERSION = 1
 
 
 def as_text(c: Column, kind: T.DataType) -> Column:
-    """The exact text of a value: ISO dates, UTC times with Z, plain decimals."""
-    if isinstance(kind, T.TimestampType):
-        return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """The exact text of a value: ISO dates, UTC times with Z (a time without a zone is taken as UTC), plain decimals.
+
+    Years outside 0 to 9999 have no such text and raise.
+    """
+    if isinstance(kind, T.DateType | T.TimestampType | T.TimestampNTZType):
+        far = F.raise_error(F.concat(F.lit("no ISO text for "), c.cast("string"))).cast("string")
+        utc = F.to_utc_timestamp(c, F.current_timezone()) if isinstance(kind, T.TimestampType) else c
+        shown = F.date_format(utc, "yyyy-MM-dd" if isinstance(kind, T.DateType) else "yyyy-MM-dd'T'HH:mm:ss'Z'")
+        return F.when(F.year(utc).between(0, 9999), shown).when(c.isNotNull(), far)
     return c.cast("string")
 
 
@@ -26,7 +32,7 @@ def json_lines(df: DataFrame) -> DataFrame:
     parts = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, T.DecimalType | T.DateType | T.TimestampType):
+        if isinstance(f.dataType, T.DecimalType | T.DateType | T.TimestampType | T.TimestampNTZType):
             c = as_text(c, f.dataType)
         elif isinstance(f.dataType, T.DoubleType | T.FloatType):
             c = F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.raise_error(F.lit(f"{f.name} is not finite")).cast("double")).otherwise(c)
@@ -58,21 +64,54 @@ def read_envelopes(lines: DataFrame, record: T.StructType, column: str = "value"
     return out.withColumn("contract_version", F.when(fine, F.col("contract_version")).otherwise(F.raise_error(F.lit("not an envelope of this contract"))))
 
 
-def to_memory(df: DataFrame, most_rows: int) -> list:
-    """All rows, or an error if there are more than `most_rows`; never more than one row beyond is fetched."""
-    rows = df.limit(most_rows + 1).collect()
+def to_memory(df: DataFrame, most_rows: int, most_bytes: int | None = None, schema: T.StructType | None = None) -> list:
+    """All rows, or an error if there are more than `most_rows` or more than `most_bytes` of values; never more than one row beyond is fetched.
+
+    A schema other than the one expected is an error too.
+    """
+    if schema is not None and [(f.name, f.dataType) for f in df.schema.fields] != [(f.name, f.dataType) for f in schema.fields]:
+        raise ValueError("the rows have another schema")
+    few = df.limit(most_rows + 1)
+    if most_bytes is not None:
+        size = few.agg(F.sum(payload(few))).first()[0] or 0
+        if size > most_bytes:
+            raise OverflowError(f"more than {most_bytes} bytes")
+    rows = few.collect()
     if len(rows) > most_rows:
         raise OverflowError(f"more than {most_rows} rows")
     return rows
 
 
-def count_only(df: DataFrame) -> int:
-    """Run the plan, keep nothing, and return the number of rows."""
+def payload(df: DataFrame) -> Column:
+    """Bytes of a row's values: those of texts, and the width of others; nulls have none."""
+    size = F.lit(0)
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        wide = F.octet_length(c) if isinstance(f.dataType, T.StringType | T.BinaryType) else F.when(c.isNotNull(), {T.BooleanType: 1, T.DateType: 4, T.IntegerType: 4, T.FloatType: 4, T.DecimalType: 16}.get(type(f.dataType), 8))
+        size = size + F.coalesce(wide, F.lit(0))
+    return size.cast("long")
+
+
+def measured(df: DataFrame, sink, batch_size: int = 1024) -> dict:
+    """Run `sink(df)` and return its metrics: rows, batches, bytes of values, seconds and rates, from one pass."""
+    import time
+
     from pyspark.sql import Observation
 
-    seen = Observation()
-    df.observe(seen, F.count("*").alias("n")).write.format("noop").mode("overwrite").save()
-    return seen.get["n"]
+    seen, began = Observation(), time.perf_counter()
+    sink(df.observe(seen, F.count("*").alias("rows"), F.coalesce(F.sum(payload(df)), F.lit(0)).alias("bytes"), F.coalesce(F.max(payload(df)), F.lit(0)).alias("largest_row_bytes")))
+    took, found = max(time.perf_counter() - began, 1e-9), seen.get
+    return found | {"batches": -(-found["rows"] // batch_size), "seconds": took, "rows_per_second": found["rows"] / took, "bytes_per_second": found["bytes"] / took}
+
+
+def nowhere(df: DataFrame) -> None:
+    """Run the plan and keep nothing."""
+    df.write.format("noop").mode("overwrite").save()
+
+
+def count_only(df: DataFrame) -> int:
+    """Run the plan, keep nothing, and return the number of rows."""
+    return measured(df, nowhere)["rows"]
 
 
 def write_violations(found: DataFrame, path: str, most: int | None = None) -> int:
@@ -83,4 +122,15 @@ def write_violations(found: DataFrame, path: str, most: int | None = None) -> in
     return total
 
 
-write_audit = write_jsonl
+def write_matches(matches: DataFrame, path: str, most: int = 100) -> int:
+    """Write the first `most` matches by both ids as JSON Lines; return how many there are."""
+    total = matches.count()
+    matches.orderBy("candidate_id", "reference_id").limit(most).write.mode("overwrite").json(path)
+    return total
+
+
+def write_audit(entries: DataFrame, path: str) -> None:
+    """Write audit entries as JSON Lines in the order of batches, one entry a batch; a batch with two entries is an error."""
+    once = F.when(F.count("*") == 1, F.first("value")).otherwise(F.raise_error(F.concat(F.lit("two entries for batch "), F.first("batch_id").cast("string"))).cast("string"))
+    lines = entries.select("batch_id", F.to_json(F.struct(*entries.columns), {"ignoreNullFields": "false"}).alias("value"))
+    lines.groupBy("batch_id").agg(once.alias("value")).repartitionByRange("batch_id").sortWithinPartitions("batch_id").select("value").write.mode("overwrite").text(path)

@@ -3,7 +3,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from qualigraph.functions import similarity, text, typing
+from qualigraph.functions import decimals, similarity, text, typing
 
 
 def one(spark, value, column):
@@ -80,3 +80,45 @@ def test_inference(spark):
     assert [r.h for r in typing.convert(df, wrong).collect()] == [1, None]
     with pytest.raises(Exception, match="invalid i64"):
         typing.convert(df, wrong, "fail").collect()
+
+
+@pytest.mark.parametrize("text,scale,want", [
+    ("1.50", 1, "1.5"), ("1.50", 4, "1.5000"), ("1.55", 1, None), ("-0.05", 2, "-0.05"), ("-0.05", 1, None), (".5", 1, "0.5"), ("+7", 0, "7"), ("7.", 2, "7.00"), ("100", 0, "100"), ("1200", 0, "1200"),
+    ("0", 3, "0.000"), ("1e2", 2, None), ("", 2, None), (None, 2, None), ("9" * 38, 0, "9" * 38), ("9" * 38, 1, None), ("9" * 39, 0, None), ("0." + "0" * 37 + "1", 38, "0." + "0" * 37 + "1"),
+])
+def test_decimals(spark, text, scale, want):
+    assert one(spark, text, lambda c: decimals.format_decimal(decimals.rescale(decimals.parse_decimal(c), scale))) == want
+
+
+def test_decimal_order(spark):
+    from decimal import Decimal
+
+    values = ["-10.5", "-10.05", "-0.0", "0", "0.10", "0.1", ".09", "2", "10", "9.99", "1" + "0" * 37, "0." + "1" * 38]
+    rows = [(a, b) for a in values for b in values]
+    a, b = (decimals.parse_decimal(F.col(c)) for c in "ab")
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", decimals.compare(a, b).alias("r")).collect()
+    assert all(r.r == (Decimal(r.a) > Decimal(r.b)) - (Decimal(r.a) < Decimal(r.b)) for r in got) and len(got) == len(rows)
+    assert one(spark, None, lambda c: decimals.compare(decimals.parse_decimal(c), decimals.parse_decimal(F.lit("1")))) is None
+
+
+def test_days_and_amounts(spark):
+    from decimal import Decimal
+
+    assert one(spark, "1970-01-11", decimals.date_days) == 10 and one(spark, "1970-1-11", lambda c: decimals.date_days(c, "null")) is None
+    assert one(spark, "12,50", lambda c: decimals.currency(c, 2, ",")) == Decimal("12.50") and one(spark, "12", lambda c: decimals.currency(c, 1)) == Decimal("12.0")
+    assert one(spark, "12.50", lambda c: decimals.currency(c, 2, ",", "null")) is None and one(spark, "1.555", lambda c: decimals.currency(c, 2, on_invalid="null")) is None
+    for call in (decimals.date_days, lambda c: decimals.currency(c, 2)):
+        with pytest.raises(Exception, match="invalid"):
+            one(spark, "1.x", call)
+
+
+def test_bounds_of_scores_hold(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [("".join(rng.choices("abé ", k=rng.randrange(9))), "".join(rng.choices("abé ", k=rng.randrange(9)))) for _ in range(800)] + [("", ""), ("abcd", "abcd")]
+    a, b = F.col("a"), F.col("b")
+    df = spark.createDataFrame(rows, "a string, b string")
+    got = df.select("a", "b", similarity.jaro_winkler(a, b).alias("jw"), similarity.jaro_winkler_bound(a, b).alias("most"), similarity.composite(a, b, threshold=0.6).alias("c"), similarity.may_reach(a, b, threshold=0.6).alias("may")).collect()
+    assert all(r.jw <= r.most for r in got) and all(r.may for r in got if r.c is not None) and not all(r.may for r in got)
+    assert one(spark, "", lambda c: similarity.jaro_winkler(c, F.lit(""))) == 1.0

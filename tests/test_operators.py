@@ -13,6 +13,10 @@ def test_profile(spark):
     rows = {r.column_name: r for r in profile.report(df).collect()}
     assert (rows["n"].null_count, rows["n"].mean, rows["n"].variance) == (1, 1.5, 0.5)
     assert (rows["s"].min_bytes, rows["s"].max_bytes, rows["s"].distinct_count, rows["s"].mode) == (1, 2, 2, "exact")
+    assert rows["n"].batches == 1 and rows["n"].schema_hash == clean.schema_hash(df.schema) and rows["s"].pattern is None
+    mails = profile.report(spark.createDataFrame([(i, f"a{i}@b.c") for i in range(12)], "k int, s string"), order="k", batch_size=5).collect()
+    assert [(r.pattern, r.batches) for r in mails] == [(None, 3), ("email", 3)]
+    assert profile.report(df.limit(0)).count() == 2
     assert profile.nulls(df.limit(0)).first().null_rate == 0
     many = spark.range(30_000).withColumn("k", F.col("id") % 5)
     found = {r.column_name: r for r in profile.distinct(many).collect()}
@@ -28,20 +32,23 @@ def test_patterns(spark):
 
 
 def test_rules(spark):
-    df = spark.createDataFrame([(0, "0012", "Ada", 10), (1, "0012", None, None), (2, None, "bob", 7)], "o int, id string, name string, score int")
+    df = spark.createDataFrame([(5, "NL-7", "oak", 40), (6, "NL-7", None, None), (8, None, "elm", 12), (9, "NL-7", "oak", 12)], "o int, code string, wood string, age int")
     rules = [
-        validate.Rule(1, "id", "string_length", min_length=5, max_length=5),
-        validate.Rule(2, "score", "required"),
-        validate.Rule(3, "score", "range", min="8", max="9"),
-        validate.Rule(4, "name", "enum_values", values=("Ada",)),
-        validate.Rule(5, "id", "unique"),
-        validate.Rule.from_json({"id": 6, "column": "name", "tag": "regex", "regex": "^[[:upper:]]", "values": None}),
+        validate.Rule(11, "code", "string_length", max_length=3),
+        validate.Rule(12, "age", "required"),
+        validate.Rule(13, "age", "range", min="15", max="30"),
+        validate.Rule(14, "wood", "enum_values", values=("oak", "ash")),
+        validate.Rule(15, "code", "unique"),
+        validate.Rule.from_json({"id": 16, "column": "wood", "tag": "regex", "regex": "k$", "values": None}),
     ]
     found = validate.violations(df, rules, "o")
     got = [(r.offset, r.rule_id, r.code) for r in validate.sample(found).collect()]
-    assert got == [(0, 1, "invalid_length"), (0, 3, "above_maximum"), (1, 1, "invalid_length"), (1, 2, "required_missing"), (1, 5, "duplicate_value"), (2, 3, "below_minimum"), (2, 4, "enum_mismatch"), (2, 6, "regex_mismatch")]
-    assert validate.totals(df, found).first() == (3, 3, 8)
-    assert {r.rule_id: r.violation_count for r in validate.by_rule(found, rules).collect()} == {1: 2, 2: 1, 3: 2, 4: 1, 5: 1, 6: 1}
+    want = [(5, 11, "invalid_length"), (5, 13, "above_maximum"), (6, 11, "invalid_length"), (6, 12, "required_missing"), (6, 15, "duplicate_value"), (8, 13, "below_minimum"), (8, 14, "enum_mismatch"), (8, 16, "regex_mismatch")]
+    assert got == [*want, (9, 11, "invalid_length"), (9, 13, "below_minimum"), (9, 15, "duplicate_value")]
+    assert validate.totals(df, found).first() == (4, 4, 11)
+    assert {r.rule_id: r.violation_count for r in validate.by_rule(found, rules).collect()} == {11: 3, 12: 1, 13: 3, 14: 1, 15: 2, 16: 1}
+    only = validate.violations(df, [validate.Rule(1, "age", "unique")], "o").collect()
+    assert [(r.offset, r.code) for r in only] == [(9, "duplicate_value")]
 
 
 @pytest.mark.parametrize("rule", [
@@ -74,7 +81,15 @@ def test_matching(spark):
     found = match.by_edits(left, right, "k", "s", "prefix", 3, 1)
     assert sorted(map(tuple, found.collect())) == [(1, 10, 0), (1, 11, 1), (4, 10, 0), (4, 11, 1)]
     assert match.by_composite(left, right, "k", "s").count() == 4
-    assert match.summary(left, right, found).first() == (4, 3, 4)
+    assert match.summary(left, right, found, batch_size=2).first() == (4, 3, 4, 2, 2)
+    assert sorted(map(tuple, match.exact_counts(left, right, "k", "s").collect())) == [(10, 2)]
+    long = spark.createDataFrame([(1, "x" * 500), (2, "X" * 500 + " "), (3, "x" * 501)], "k long, s string")
+    assert sorted(map(tuple, match.exact(long, long, "k", "s").collect())) == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 3)]
+    first, n = match.sample(found, 2)
+    assert [(r.candidate_id, r.reference_id) for r in first.collect()] == [(10, 1), (10, 4)] and n == 4
+    assert match.by_edits(left, right, "k", "s", "prefix", 3, 1, most_candidates=2).count() == 4
+    with pytest.raises(Exception, match="too many candidates"):
+        match.by_edits(left, right, "k", "s", "prefix", 3, 1, most_candidates=1).collect()
     assert match.over_limit(found, 1).count() == 2 and match.capped(found, 2).count() == 4
     with pytest.raises(Exception, match="too many matches"):
         match.capped(found, 1).collect()
@@ -117,14 +132,15 @@ def test_every_property_of_the_mapping_is_asserted(spark):
 
     sf_dir = "/root/testdata/sf0.001"
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet").collect()
+    plain = lambda x: format(Decimal(str(x)).normalize(), "f") if x else "0"
     nations, want = {n.n_nationkey: n for n in read("nation")}, []
     for c in read("customer"):
         n = nations.get(c.c_nationkey)
         if n is None or c.c_mktsegment not in ("BUILDING", "AUTOMOBILE", "MACHINERY", "HOUSEHOLD") or c.c_acctbal < -900 or len(c.c_name) > 40:
             continue
-        want += [(c.c_custkey, "customer_key", str(c.c_custkey)), (c.c_custkey, "name", c.c_name.upper()), (c.c_custkey, "segment", c.c_mktsegment), (c.c_custkey, "balance", str(c.c_acctbal))]
+        want += [(c.c_custkey, "customer_key", str(c.c_custkey)), (c.c_custkey, "name", c.c_name.upper()), (c.c_custkey, "segment", c.c_mktsegment), (c.c_custkey, "balance", plain(c.c_acctbal))]
         want += [(c.c_custkey, "nation_key", str(n.n_nationkey)), (c.c_custkey, "name", n.n_name), (c.c_custkey, "region_key", str(n.n_regionkey))]
-    got = catalogue.QUERIES["mat_assertions_all"](spark, sf_dir).collect()
+    got = catalogue.QUERIES["mat_assertions"](spark, sf_dir).collect()
     assert {r.predicate for r in got} >= {"balance"} and {(r.value_type, r.kind) for r in got if r.predicate == "balance"} == {("decimal", "observed")}
     assert sorted((r.offset, r.predicate, r.value) for r in got) == sorted(want)
     subjects = {r.offset: r.subject_id for r in got if r.predicate == "customer_key"}
@@ -134,12 +150,23 @@ def test_every_property_of_the_mapping_is_asserted(spark):
 def test_reasoning(spark):
     good, _ = graph.split(records(spark), MAPPING)
     facts = graph.assertions(good, MAPPING, "o")
-    rules = [reason.Rule("r1", (reason.Condition("key"),), "segment", "known"), reason.Rule("r2", (reason.Condition("segment", "equals", "known"),), "review", "ready")]
+    rules = [reason.Rule("post", (reason.Condition("address"),), "reach", "mail"), reason.Rule("invite", (reason.Condition("reach", "equals", "mail"), reason.Condition("address", "not_equals", "none")), "guest", copy_from="address", confidence=0.5)]
     found, iterations = reason.apply(facts, rules)
-    assert (found.count(), iterations) == (4, 3)
-    assert reason.apply(facts, rules, most_assertions=3)[0].count() == 3
-    assert reason.apply(facts, rules, most_iterations=1)[0].count() == 2
-    assert {r.depth: r.n for r in reason.explain(found).groupBy("depth").agg(F.count("*").alias("n")).collect()} == {1: 4, 2: 2}
+    assert (found.count(), iterations) == (2, 3)
+    guest = found.where("predicate = 'guest'").first()
+    assert (guest.value, guest.confidence, guest.iteration, guest.mapping_version) == ("x@y.z", Decimal("0.5"), 2, 1)
+    assert reason.apply(facts, rules, most_assertions=1)[0].count() == 1
+    assert reason.apply(facts, rules, most_iterations=1)[0].count() == 1
+    assert reason.apply(facts, rules, most_objects=1)[0].count() <= 2
+    assert {r.depth: r.n for r in reason.explain(found).groupBy("depth").agg(F.count("*").alias("n")).collect()} == {1: 3, 2: 1}
+    declared = {"address": "string", "reach": "string", "guest": "string"}
+    assert reason.apply(facts, rules, declared=declared)[0].count() == 2
+    for wrong in (declared | {"guest": "integer"}, {"reach": "string", "guest": "string"}):
+        with pytest.raises(reason.ReasoningError):
+            reason.apply(facts, rules, declared=wrong)
+    for make in (lambda: reason.Rule("r", (), "p", "v"), lambda: reason.Rule("r", (reason.Condition("a"),), "p"), lambda: reason.Rule("r", (reason.Condition("a"),), "p", copy_from="b"), lambda: reason.Rule("r", (reason.Condition("a"),), "p", "v", confidence=2)):
+        with pytest.raises(reason.ReasoningError):
+            make()
 
 
 def test_inferred_facts_combine_their_premises(spark):
@@ -163,6 +190,8 @@ def test_inferred_facts_combine_their_premises(spark):
         ("u", "c"): (Decimal("0.9"), None, None, None),
         ("u", "d"): (Decimal("0.45"), None, None, None),
     }
+    versions = facts.withColumn("mapping_version", F.col("assertion_id").cast("int"))
+    assert {(r.subject_id, r.mapping_version) for r in reason.apply(versions, rules)[0].collect()} == {("s", 2), ("u", 6)}
 
 
 def test_resolution(spark):
@@ -172,7 +201,14 @@ def test_resolution(spark):
     assert sorted((r.left_id, r.right_id, r.decision) for r in decided.collect()) == [("a", "b", "merge"), ("b", "e", "merge"), ("c", "d", "reject")]
     assert [r.object_id for r in reason.conflicts(decided).collect()] == ["b"]
     objects = spark.createDataFrame([("a",), ("c",)], "object_id string")
-    got = {r.object_id: r.canonical_id for r in reason.resolve(objects, decided).collect()}
+    got = {r.object_id: r.canonical_id for r in reason.resolve(objects, decided, "least").collect()}
     assert got["c"] == "c" and got["a"] != "a"
+    with pytest.raises(Exception, match="conflicting merges"):
+        reason.resolve(objects, decided).collect()
+    once = decided.where("right_id = 'b'")
+    kept = objects.withColumn("n", F.lit(1))
+    assert [(r.asked_id, r.object_id) for r in reason.get_object(kept, once, objects).orderBy("asked_id").collect()] == [("a", "a"), ("c", "c")]
+    merged = once.select(F.col("canonical_id").alias("object_id"), F.lit(2).alias("n"))
+    assert [(r.asked_id, r.n) for r in reason.get_object(kept.unionByName(merged), once, objects).orderBy("asked_id").collect()] == [("a", 2), ("c", 1)]
     low, high = reason.intersect([F.lit(1), F.lit(None)], [F.lit(5), F.lit(3)])
     assert spark.range(1).select(low, high).first() == (1, 3)

@@ -128,3 +128,59 @@ def test_streaming(spark, tmp_path):
     assert found.isStreaming
     with pytest.raises(validate.RuleError):
         incremental.row_violations(stream, [validate.Rule(1, "name", "unique")], "o")
+
+
+def test_bytes_that_are_no_text(spark, tmp_path):
+    path = str(tmp_path / "b.csv")
+    (tmp_path / "b.csv").write_bytes(b"a,b\n1,\xff\n2,x\n")
+    with pytest.raises(Exception, match="InvalidUtf8"):
+        files.read_csv_strict(spark, path).collect()
+    assert [tuple(r) for r in files.read_csv_strict(spark, path, malformed="skip").collect()] == [("2", "x")]
+    assert [tuple(r) for r in files.read_csv_strict(spark, path, invalid_utf8="allow").collect()] == [("1", "\ufffd"), ("2", "x")]
+    with pytest.raises(files.SourceError):
+        files.read_csv_strict(spark, path, invalid_utf8="odd")
+    many = put(tmp_path, 'a,"b\nc"\n"' + "x\n" * 20_000 + '",1\n', "long.csv")  # linear in the length of a quoted field
+    assert files.header(spark, many) == ["a", "b\nc"]
+    assert [len(r[0]) for r in files.read_csv_strict(spark, many).collect()] == [40_000]
+
+
+def test_sources_look_alike(spark, tmp_path):
+    csv, jsonl = put(tmp_path, "a\n1\n"), put(tmp_path, '{"a":123456789012345678901}\n', "x.jsonl")
+    one, two = files.source(spark, "csv", csv), files.source(spark, "jsonl", jsonl)
+    assert one.rows.count() == two.rows.count() == 1 and one.capabilities.replayable and one.bytes() == 4 and one.identity().count() == 1
+    assert two.schema["a"].dataType.simpleString() == "string" and two.rows.first().a == "123456789012345678901"
+    with pytest.raises(files.SourceError):
+        files.source(spark, "odd", csv)
+    assert files.renamed(one.rows, {"a": "b"}).columns == ["b"]
+    for names in ({}, {"a": "b", "c": "d"}):
+        with pytest.raises(files.SourceError):
+            files.renamed(one.rows, names)
+
+
+def test_bounded_memory_metrics_and_logs(spark, tmp_path):
+    df = spark.createDataFrame([(1, "abc"), (2, None), (3, "é")], "id long, s string")
+    assert sinks.measured(df, sinks.nowhere, 2)["batches"] == 2 and sinks.measured(df, sinks.nowhere)["bytes"] == 29
+    assert len(sinks.to_memory(df, 3, 29, df.schema)) == 3
+    for call in (lambda: sinks.to_memory(df, 3, 28), lambda: sinks.to_memory(df, 2)):
+        with pytest.raises(OverflowError):
+            call()
+    with pytest.raises(ValueError):
+        sinks.to_memory(df, 3, None, T.StructType().add("id", "string"))
+    times = spark.sql("select timestamp'2024-05-06 07:08:09' a, timestamp_ntz'2024-05-06 07:08:09' b, date'2024-05-06' c, cast(null as date) d")
+    assert sinks.json_lines(times).first().value == '{"a":"2024-05-06T07:08:09Z","b":"2024-05-06T07:08:09Z","c":"2024-05-06","d":null}'
+    with pytest.raises(Exception, match="no ISO text"):
+        sinks.json_lines(spark.sql("select cast('+12000-01-01' as date) a")).collect()
+    log = clean.audit(df, [clean.Transform("trim", "s")], "id", "r", "s", batch_size=2)
+    sinks.write_audit(log, str(tmp_path / "log"))
+    assert spark.read.json(str(tmp_path / "log")).count() == 2
+    with pytest.raises(Exception, match="two entries"):
+        sinks.write_audit(log.unionAll(log), str(tmp_path / "log2"))
+    pairs = spark.createDataFrame([(1, 5), (2, 5), (1, 4)], "reference_id long, candidate_id long")
+    assert sinks.write_matches(pairs, str(tmp_path / "m"), 2) == 3 and spark.read.json(str(tmp_path / "m")).count() == 2
+    assert clean.fnv1a(b"") == 0xCBF29CE484222325 and clean.fnv1a(b"a") == 0xAF63DC4C8601EC8C
+
+
+def test_inferred(spark):
+    df = spark.createDataFrame([("1", "x"), ("2", "y"), (None, "z")], "a string, b string")
+    rows, report = typing.inferred(df, batch_size=2)
+    assert rows.schema["a"].dataType.simpleString() == "bigint" and report == {"rows": 3, "batches": 2, "invalid": {"a": 0, "b": 0}, "schema": [("a", "i64", True), ("b", "string", True)]}
