@@ -6,12 +6,14 @@ inside each bucket. A text longer than the context is cut into whole contexts an
 no token is lost and the histogram has `max_length` + 1 cells at most, whatever the input:
 that is all that the driver sees.
 
-A row's place in its bucket comes from a range partitioning by (bucket, key, sequence), the
-row's number in its partition, and the sums of a table with one row for each partition and
-bucket. No bucket, however full, meets in one task.
+A row's place in its bucket comes from a range partitioning by (bucket, key, sequence, length,
+hash of the text, place in the input), the row's number in its partition, and the sums of a
+table with one row for each partition and bucket. No bucket and no key, however full, meets in
+one task, and only rows that are equal in key and text stand in no fixed order.
 
 Defined results: null and empty texts have length 0 and one sequence of no tokens, in the
-smallest bucket. Null keys come first; rows with equal keys stay apart. Other columns are not
+smallest bucket. Null keys come first; rows with equal keys stay apart, the shorter sequence
+first and then by the hash of the text; repeated rows are packed one by one. Other columns are not
 carried. An empty table has no batches.
 """
 
@@ -69,13 +71,14 @@ def optimal_boundaries(lengths: Sequence[int], counts: Sequence[int], buckets: i
 
 
 def sequences(df: DataFrame, key: str = "doc_id", length: Column | None = None, max_length: int = MAX_LENGTH) -> DataFrame:
-    """(key, sequence, start, n_tokens): each text's whole contexts and its rest."""
+    """(key, sequence, start, n_tokens, tie): each text's whole contexts and its rest; `tie` is a hash of the text, or 0 without one."""
     size = F.greatest(F.coalesce(length if length is not None else word_count(), F.lit(0).cast("long")), F.lit(0).cast("long"))
-    counted = df.select(F.col(key).alias("key"), size.cast("long").alias("size"))
+    tie = F.xxhash64("text") if "text" in df.columns else F.lit(0).cast("long")
+    counted = df.select(F.col(key).alias("key"), size.cast("long").alias("size"), tie.alias("tie"))
     last = F.greatest(F.ceil(F.col("size") / F.lit(max_length)) - 1, F.lit(0)).cast("long")
-    each = counted.select("key", "size", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("sequence"))
+    each = counted.select("key", "size", "tie", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("sequence"))
     start = F.col("sequence") * max_length
-    return each.select("key", "sequence", start.alias("start"), F.least(F.col("size") - start, F.lit(max_length).cast("long")).alias("n_tokens"))
+    return each.select("key", "sequence", start.alias("start"), F.least(F.col("size") - start, F.lit(max_length).cast("long")).alias("n_tokens"), "tie")
 
 
 def pack(df: DataFrame, key: str = "doc_id", length: Column | None = None, max_length: int = MAX_LENGTH, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDGET) -> DataFrame:
@@ -87,7 +90,8 @@ def pack(df: DataFrame, key: str = "doc_id", length: Column | None = None, max_l
     if token_budget < max_length:
         raise ValueError("a batch has to hold one sequence of the greatest length")
     spark = df.sparkSession
-    parts = cut(sequences(df, key, length, max_length))
+    # rows equal in all that orders them are dealt by where they lie, so no key fills a range of its own
+    parts = cut(sequences(df, key, length, max_length).withColumn("row", F.monotonically_increasing_id()))
     histogram = parts.groupBy("n_tokens").count().collect()  # max_length + 1 rows at most
     bounds = optimal_boundaries([r["n_tokens"] for r in histogram], [r["count"] for r in histogram], buckets)
     batches_before, room, total = [], [], 0
@@ -99,10 +103,11 @@ def pack(df: DataFrame, key: str = "doc_id", length: Column | None = None, max_l
     numbered = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<long>")
     bucket = F.size(F.filter(numbered, lambda b: b < F.col("n_tokens")))
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = ["bucket", F.col("key").asc_nulls_first(), "sequence", "n_tokens", "tie", "row"]
     dealt = (
         parts.withColumn("bucket", bucket)
-        .repartitionByRange(width, "bucket", F.col("key").asc_nulls_first(), "sequence")
-        .sortWithinPartitions("bucket", F.col("key").asc_nulls_first(), "sequence")
+        .repartitionByRange(width, *order)
+        .sortWithinPartitions(*order)
         .withColumn("at", F.monotonically_increasing_id())
     )
     placed = cut(dealt).withColumn("part", F.shiftright("at", 33).cast("int"))

@@ -53,6 +53,19 @@ def test_pack_keeps_every_token_and_the_budget(spark):
     assert max(short.values()) <= 1
 
 
+def test_ties_have_an_order_whatever_the_partitions(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice([None, 1, 1, 2]), "w " * rng.randrange(40) + rng.choice("abc")) for _ in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    shape = lambda d: sorted(map(tuple, packing.pack(d, max_length=64, buckets=4, token_budget=256).collect()), key=str)
+    one = shape(df.repartition(7))
+    assert one == shape(df.coalesce(1)) == shape(df.orderBy("text"))
+    short = defaultdict(list)
+    for key, _, _, n, _, batch, slot in one:
+        short[key].append((batch, slot, n))
+    assert all([n for *_, n in sorted(x)] == sorted(n for *_, n in x) for x in short.values())
+
+
 def test_empty_table_and_wrong_budget(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack(empty).count() == 0
