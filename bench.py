@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from qualigraph import catalogue
 from qualigraph.functions import typing
 from qualigraph.operators import clean
+from qualigraph.operators.lineage import spread
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -21,8 +22,8 @@ CPUS = os.environ.get("BENCH_CPUS", "8")
 def typed_lineitem(spark: SparkSession, sf_dir: str):
     """Text columns to types, the work of an ingestion."""
     raw = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    texts = raw.select(*[F.col(c).cast("string").alias(c) for c in raw.columns])
-    return typing.convert(texts, typing.infer(texts))
+    texts = lambda df: df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
+    return typing.convert(texts(spread(raw)), typing.infer(texts(raw)))
 
 
 def cleaned_lineitem(spark: SparkSession, sf_dir: str):
@@ -31,7 +32,7 @@ def cleaned_lineitem(spark: SparkSession, sf_dir: str):
 
 HEADLINE = {"ingest_typed_lineitem": typed_lineitem, "pipeline_lowercase_lineitem": cleaned_lineitem} | {
     name: catalogue.QUERIES[name]
-    for name in ("profile_report", "profile_distinct", "validation_violations", "rule_unique", "unique_counts_lineitem", "match_exact_docs", "match_levenshtein_block", "mat_objects", "mat_relations", "mat_assertions", "graph_find_equals", "graph_neighbors_both", "graph_traverse_2hop", "reason_fixpoint")
+    for name in ("profile_report", "profile_distinct", "validation_violations", "rule_unique", "unique_counts_lineitem", "match_exact_docs", "match_exact_counts", "match_levenshtein_block", "mat_objects", "mat_relations", "mat_assertions", "graph_lookup", "graph_find_equals", "graph_neighbors_both", "graph_traverse_2hop", "reason_fixpoint")
 }
 
 

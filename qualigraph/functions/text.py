@@ -36,7 +36,7 @@ def byte_view(c: Column) -> Column:
 def match_normal(c: Column, trim_ends: bool = True, collapse: bool = True, drop_punctuation: bool = False, lower: bool = True) -> Column:
     """Normal form for record matching; punctuation goes before blanks collapse."""
     out = c
-    if trim_ends:
+    if trim_ends and not collapse:
         out = trim(out)
     if drop_punctuation:
         out = F.regexp_replace(out, r"\p{Punct}", "")

@@ -68,21 +68,24 @@ def choose(shares: dict[str, float], has_leading_zero: bool, confidence: float =
 
 
 def shares(df: DataFrame) -> DataFrame:
-    """One row a column: rows, nulls, leading zeros and the values that each candidate accepts. One pass."""
-    parts = []
-    for name in df.columns:
-        c = F.col(f"`{name}`").cast("string")
-        counts = [F.sum(parse(c, t).isNotNull().cast("long")).alias(t) for t in TAGS]
-        parts.append(F.struct(F.lit(name).alias("column_name"), F.count("*").alias("n"), F.count(c).alias("present"), F.sum(leading_zero(c).cast("long")).alias("zeros"), *counts).alias(f"_{len(parts)}"))
-    return df.agg(*parts).select(F.explode(F.array(*[F.col(f"_{i}") for i in range(len(parts))])).alias("s")).select("s.*")
+    """One row a column: rows, values, leading zeros and the values that each candidate accepts; none for an empty input.
+
+    Columns become rows first, so the plan has one set of expressions however many columns there are.
+    """
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("c")) for c in df.columns])
+    c = F.col("c")
+    counts = [F.count(parse(c, t)).alias(t) for t in TAGS]
+    long = df.select(F.explode(cells).alias("s")).select("s.*")
+    return long.groupBy("column_name").agg(F.count("*").alias("n"), F.count("c").alias("present"), F.sum(leading_zero(c).cast("long")).alias("zeros"), *counts)
 
 
 def infer(df: DataFrame, sample_rows: int = SAMPLE_ROWS, confidence: float = 1.0) -> list[Field]:
     """Types of text columns from the first rows; every field is nullable afterwards."""
-    found = []
-    for r in shares(df.limit(sample_rows)).collect():  # one row a column
-        known = {t: (r[t] or 0) / r["present"] for t in TAGS} if r["present"] else {}
-        found.append(Field(r["column_name"], choose(known, bool(r["zeros"]), confidence), True))
+    rows, found = {r["column_name"]: r for r in shares(df.limit(sample_rows)).collect()}, []  # one row a column
+    for name in df.columns:
+        r = rows.get(name)
+        known = {t: r[t] / r["present"] for t in TAGS} if r and r["present"] else {}
+        found.append(Field(name, choose(known, bool(r and r["zeros"]), confidence), True))
     return found
 
 
