@@ -64,7 +64,8 @@ def _without(text: Column, characters: str) -> Column:
 def repeated_words(words: Column, width: int = WINDOW) -> Column:
     """Words inside any `width`-word window that occurs twice or more; first occurrence included.
 
-    Windows are sorted with their starts, so a window is repeated when a neighbour in the
+    Where all windows have different hashes none occurs twice, and most texts are done. In the
+    others windows are sorted with their starts, so a window is repeated when a neighbour in the
     order is equal; the starts are sorted again and each covers the words up to the next.
     O(n log n) for a text of n words, whatever the number of repeats.
     """
@@ -85,7 +86,10 @@ def repeated_words(words: Column, width: int = WINDOW) -> Column:
         return F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x)
 
     found = bind(windows, lambda s: bind(F.sort_array(F.transform(twice(s), lambda x: x["i"])), covered))
-    return F.when(F.size(words) <= width, F.lit(0).cast("long")).otherwise(found)
+    hashes = F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + (k - 1)) for k in range(width)]))
+    different = bind(hashes, lambda h: F.size(F.array_distinct(h)) == F.size(h))
+    nothing = F.lit(0).cast("long")
+    return F.when(F.size(words) <= width, nothing).when(different, nothing).otherwise(found)
 
 
 def measures(text: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
