@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -15,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from qualigraph.operators.lineage import shared_folder
+
 #: Characters that end a word in every contract of this subpackage.
 SPACES = " \t\n\x0b\x0c\r"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -25,16 +26,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if found:
-        if context._jsc.sc().getCheckpointDir().isEmpty():
-            context.setCheckpointDir(found)
-        return found
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="qualigraph-"))
-    return context._jsc.sc().getCheckpointDir().get()
+    """The shared folder of the session; a temporary one only where none is set in a single process (tests)."""
+    return shared_folder(spark)
 
 
 def cut(df: DataFrame) -> DataFrame:

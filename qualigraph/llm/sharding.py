@@ -23,6 +23,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from qualigraph.llm.common import shuffle_partitions
+
 #: Prime, about a hundred slots for each of 64 shards.
 SLOTS = 6553
 SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
@@ -80,8 +82,12 @@ def place(df: DataFrame, key: str, shards: Sequence[str] = SHARDS, slots: int =
     return df.withColumn("slot", slot_of(F.col(key), slots)).join(F.broadcast(owner), "slot")
 
 
-def write_shards(df: DataFrame, key: str, path: str, shards: Sequence[str] = SHARDS, slots: int = SLOTS, files_per_shard: int = 1) -> None:
-    """Write one folder for each shard, each in `files_per_shard` files dealt by the slot."""
-    placed = place(df, key, shards, slots)
-    spread = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(files_per_shard))
-    placed.repartition(len(shards) * files_per_shard, "shard", spread).write.partitionBy("shard").parquet(path)
+def write_shards(df: DataFrame, key: str, path: str, shards: Sequence[str] = SHARDS, slots: int = SLOTS, files_per_shard: int | None = None) -> None:
+    """Write one folder for each shard, in `files_per_shard` files (by default as many as make use of all shuffle partitions).
+
+    Rows are dealt to a shard's files in turn, not by key, so a key with very many rows fills no single task.
+    """
+    files = files_per_shard or max(1, shuffle_partitions(df.sparkSession) // len(shards))
+    turn = F.pmod(F.monotonically_increasing_id(), F.lit(files))
+    placed = place(df, key, shards, slots).withColumn("_turn", turn)
+    placed.repartition(len(shards) * files, "shard", "_turn").drop("_turn").write.partitionBy("shard").parquet(path)
