@@ -136,6 +136,17 @@ def profile_distinct(spark, sf_dir):
     return profile.distinct_exact(_t(spark, sf_dir, "lineitem"), ["l_orderkey", "l_partkey", "l_returnflag", "l_quantity"])
 
 
+@query(_union(f"SELECT '{c}' AS column_name, count(DISTINCT {c})::BIGINT AS distinct_count, CASE WHEN count(DISTINCT {c}) <= 10000 THEN 'exact' ELSE 'approximate' END AS mode FROM lineitem" for c in ("l_returnflag", "l_linestatus", "l_quantity", "l_shipdate")))
+def profile_distinct_adaptive(spark, sf_dir):
+    """Columns of few values, which the sketch leaves to an exact count."""
+    return profile.distinct(_t(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus", "l_quantity", "l_shipdate"])
+
+
+@query(_union(f"SELECT '{c}' AS column_name, min(round({c}, 2)::DECIMAL(18,2))::VARCHAR AS min, max(round({c}, 2)::DECIMAL(18,2))::VARCHAR AS max FROM lineitem" for c in ("l_extendedprice", "l_tax")))
+def profile_decimals(spark, sf_dir):
+    return profile.decimals(_t(spark, sf_dir, "lineitem").select(*[F.round(c, 2).cast("decimal(18,2)").alias(c) for c in ("l_extendedprice", "l_tax")]))
+
+
 @query()
 def profile_distinct_approx(spark, sf_dir):
     return profile.distinct_sketch(_t(spark, sf_dir, "lineitem"), ["l_orderkey", "l_partkey"])
@@ -242,6 +253,29 @@ QUERIES["rule_required"] = _one_rule("customer", "c_custkey", validate.Rule(1, "
 ORACLES["rule_required"] = "SELECT c_custkey AS \"offset\", 'required_missing' AS code FROM customer WHERE c_mktsegment = 'BUILDING'"
 
 
+@query("""SELECT o_orderkey AS "offset", 'duplicate_value' AS code FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY round(o_totalprice / 1000)::DECIMAL(18,0) ORDER BY o_orderkey) AS n FROM orders) WHERE n > 1""")
+def rule_unique_decimal(spark, sf_dir):
+    """Equal decimals are equal however many zeros they end with."""
+    value = F.round(F.col("o_totalprice") / 1000).cast("decimal(18,0)")
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, value.cast("decimal(28,6)")).otherwise(value).alias("v"))
+    return validate.violations(o, [validate.Rule(1, "v", "unique")], "o_orderkey").select("offset", "code")
+
+
+@query("""SELECT c_custkey AS "offset", r.id::BIGINT AS rule_id, 'pattern_mismatch' AS code FROM customer, (VALUES (1), (2), (3)) r(id) WHERE c_custkey % (r.id + 2) = 0""")
+def rule_patterns(spark, sf_dir):
+    """Phone numbers, dates and UUIDs, a share of each spoilt."""
+    k, hexed = F.col("c_custkey"), F.md5(F.col("c_name").cast("binary"))
+    part = lambda a, n: F.substring(hexed, a, n)
+    c = _t(spark, sf_dir, "customer").select(
+        "c_custkey",
+        F.concat(F.when(k % 3 == 0, "00").otherwise("+"), F.lpad(k.cast("string"), 9, "1")).alias("phone"),
+        F.concat(F.lit("2024-01-"), F.when(k % 4 == 0, "1").otherwise("31")).alias("day"),
+        F.concat_ws("-", part(1, 8), part(9, 4), part(13, 4), part(17, 4), F.when(k % 5 == 0, part(21, 11)).otherwise(part(21, 12))).alias("uuid"),
+    )
+    rules = [validate.Rule(1, "phone", "pattern", pattern="phone_e164"), validate.Rule(2, "day", "pattern", pattern="date_iso"), validate.Rule(3, "uuid", "pattern", pattern="uuid")]
+    return validate.violations(c, rules, "c_custkey").select("offset", "rule_id", "code")
+
+
 @query("SELECT l_orderkey AS key, (count(*) - 1)::BIGINT AS duplicates FROM lineitem GROUP BY 1 HAVING count(*) > 1")
 def unique_counts_lineitem(spark, sf_dir):
     return validate.duplicates_per_key(_t(spark, sf_dir, "lineitem"), "l_orderkey")
@@ -729,6 +763,13 @@ def mat_relation_properties(spark, sf_dir):
     return found.select("offset", "subject_id", "value", "kind", graph.canonical(F.col("confidence").cast("string"), "decimal").alias("confidence"), "mapping_version")
 
 
+@query(_S + f"SELECT DISTINCT {_uuid("'NEAR:' || least(bid, oid) || ':' || greatest(bid, oid)")} AS relation_id, 'NEAR' AS relation_type, least(bid, oid) AS source_id, greatest(bid, oid) AS target_id FROM s")
+def mat_undirected(spark, sf_dir):
+    """An undirected relation has its smaller end first."""
+    either = graph.Mapping((_ORDER, _BUYER), (graph.RelationMapping("NEAR", _BUYER, _ORDER, directed=False),))
+    return graph.relations(_sales(spark, sf_dir), either)
+
+
 _CONTRACT = graph.SourceContract("sales", (graph.SourceField("o_orderkey", "integer", False, True), graph.SourceField("o_custkey", "integer"), graph.SourceField("o_orderpriority"), graph.SourceField("label", nullable=False), graph.SourceField("price", "decimal"), graph.SourceField("day", "date")))
 
 

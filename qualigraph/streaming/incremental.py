@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from qualigraph.operators import clean, graph, validate
+from qualigraph.operators.lineage import exists
+from qualigraph.plans.store import Store
 
 
 def read(spark: SparkSession, path: str, schema: T.StructType, kind: str = "parquet", files_per_trigger: int = 100) -> DataFrame:
@@ -50,3 +52,23 @@ def append_objects(stream: DataFrame, mapping: graph.Mapping, path: str, checkpo
         graph.insert_if_absent(old.drop("batch"), new, "object_id").write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+
+
+def import_records(stream: DataFrame, mapping: graph.Mapping, store: Store, checkpoint: str, source_id: str, run_id: str, offset: str, contract: graph.SourceContract | None = None) -> StreamingQuery:
+    """Map a stream of records into a store; a restart goes on after the last batch that was committed.
+
+    Rows are appended by id, so a batch that is repeated after a failure adds only what is missing.
+    A checkpoint belongs to one source and one run: another one is refused.
+    """
+    spark, note = store.spark, f"{checkpoint.rstrip('/')}-of"
+    if exists(spark, note):
+        known = spark.read.schema("source_id string, run_id string").json(note).first()
+        if (known.source_id, known.run_id) != (source_id, run_id):
+            raise ValueError(f"the checkpoint is of source {known.source_id} and run {known.run_id}")
+    else:
+        spark.createDataFrame([(source_id, run_id)], "source_id string, run_id string").coalesce(1).write.json(note)
+
+    def write(batch: DataFrame, number: int) -> None:
+        store.load(batch, mapping, offset, run_id, contract)
+
+    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()

@@ -6,6 +6,7 @@ from qualigraph.functions import typing
 from qualigraph.operators import clean, graph, validate
 from qualigraph.plans import registry
 from qualigraph.plans.pipeline import Pipeline, PipelineError
+from qualigraph.plans.store import Store
 from qualigraph.sources import files, sinks
 from qualigraph.streaming import incremental
 
@@ -130,6 +131,21 @@ def test_streaming(spark, tmp_path):
         incremental.row_violations(stream, [validate.Rule(1, "name", "unique")], "o")
 
 
+def test_checkpointed_import(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"n{i % 3}") for i in range(6)], "o long, name string")
+    rows.repartition(2).write.parquet(str(tmp_path / "in"))
+    mapping = graph.Mapping((graph.ObjectMapping("N", (graph.Property("name", "name"),)),))
+    store, stream = Store(spark, str(tmp_path / "store")), incremental.read(spark, str(tmp_path / "in"), rows.schema, files_per_trigger=1)
+    go = lambda source="s", run="r": incremental.import_records(stream, mapping, store, str(tmp_path / "cp"), source, run, "o").awaitTermination()
+    go()
+    rows.limit(3).write.mode("append").parquet(str(tmp_path / "in"))
+    go()  # the new file holds records that are known
+    assert store.table("objects").count() == 3 and store.table("assertions").count() == 6
+    for other in (("s", "r2"), ("s2", "r")):
+        with pytest.raises(ValueError, match="checkpoint"):
+            go(*other)
+
+
 def test_bytes_that_are_no_text(spark, tmp_path):
     path = str(tmp_path / "b.csv")
     (tmp_path / "b.csv").write_bytes(b"a,b\n1,\xff\n2,x\n")
