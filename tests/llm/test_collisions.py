@@ -67,6 +67,20 @@ def test_recall_on_pairs_at_the_threshold():
     assert all((x[i] * y[j]).sum() >= 0.9 for i, j in found)
 
 
+def test_recall_at_the_threshold_over_several_blocks(spark):
+    """End to end, blocks that are left out included: pairs that are only just near."""
+    rng = np.random.default_rng(4)
+    x = collisions.unit(rng.normal(size=(1200, 64)))
+    other = rng.normal(size=(1200, 64))
+    other = collisions.unit(other - (other * x).sum(1, keepdims=True) * x)
+    y = 0.9001 * x + math.sqrt(1 - 0.9001**2) * other
+    rows = [(i, v.tolist()) for i, v in enumerate([*x, *y])]
+    schema = T.StructType().add("vec_id", "long").add("embedding", T.ArrayType(T.DoubleType()))
+    got = collisions.near_duplicates(spark.createDataFrame(rows, schema).repartition(4), block=200).collect()
+    linked = [r for r in got if r.vec_id >= 1200 and r.component_id == r.vec_id - 1200]
+    assert len(linked) >= 0.995 * 1200 and sum(r.n_links for r in got) <= 2 * 1200
+
+
 def test_earlier_links_follow_their_roots():
     label = np.arange(601)
     for i, j in [([5, 3], [500, 600]), ([500], [600])]:
