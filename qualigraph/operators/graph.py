@@ -233,7 +233,7 @@ def split(records: DataFrame, mapping: Mapping, contract: SourceContract | None
     if contract is not None:
         problem = F.coalesce(contract.problem(records.columns, offset), problem)
     judged = records.withColumn("_problem", problem)
-    good = judged.where("_problem is null") if policy == "quarantine" else judged.where(F.when(F.col("_problem").isNull(), True).otherwise(F.raise_error("_problem").cast("boolean")))
+    good = judged.where("_problem is null") if policy == "quarantine" else judged.where(F.when(F.col("_problem").isNull(), True).otherwise(F.raise_error(F.col("_problem")).cast("boolean")))
     return good.drop("_problem"), judged.where("_problem is not null").withColumnRenamed("_problem", "error")
 
 
