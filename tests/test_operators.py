@@ -1,3 +1,4 @@
+import random
 from datetime import datetime
 from decimal import Decimal
 
@@ -5,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from qualigraph import catalogue
 from qualigraph.operators import clean, graph, match, profile, reason, validate
 
 
@@ -97,6 +99,42 @@ def test_matching(spark):
         match.by_edits(left, right, "k", "s", "whole")
 
 
+def pairs_by_hand(left, right, size, most):
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, above = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(above[j] + 1, row[j - 1] + 1, above[j - 1] + (x != y)))
+        return row[-1]
+
+    met = [(k, n, edits(a.encode(), b.encode())) for k, a in left for n, b in right if a and b and a.encode()[:size] == b.encode()[:size]]
+    return sorted(((k, n, d) for k, n, d in met if d <= most), key=str)
+
+
+@pytest.mark.parametrize("most", [0, 1, 2, 3])
+def test_fuzzy_matching_finds_every_pair(spark, monkeypatch, most):
+    """Against brute force: many rows of a form, forms of a block over several units, null keys, bytes beyond ASCII, long forms."""
+    monkeypatch.setattr(match, "UNIT", 3)
+    monkeypatch.setattr(match, "LONGEST_NEIGHBOURHOOD", 12)
+    draw = random.Random(most)
+    names = ["".join(draw.choice("abé") for _ in range(draw.randint(1, 7))) for _ in range(40)] + ["aab" + "c" * n for n in range(5, 13)] + ["aab", "aab" + "c" * 8 + "d"]
+    left = [(draw.choice([None, *range(90)]), draw.choice(names)) for _ in range(140)] + [(7, "aab")] * 8
+    right = [(i, draw.choice(names)) for i in range(110)]
+    a, b = (spark.createDataFrame(rows, "k long, s string") for rows in (left, right))
+    found = match.by_edits(a, b, "k", "s", "prefix", 2, most, most_candidates=None)
+    assert sorted(map(tuple, found.collect()), key=str) == pairs_by_hand(left, right, 2, most)
+
+
+def test_token_prefix_block_beyond_the_limit_of_candidates(spark, tmp_path):
+    """All suppliers are one block; this one has more than 10,000 rows."""
+    names = F.concat(F.lit("Supplier#"), F.md5(F.col("s_suppkey").cast("string")))
+    spark.range(10_001).select(F.col("id").alias("s_suppkey")).withColumn("s_name", names).write.parquet(str(tmp_path / "supplier.parquet"))
+    found = catalogue.QUERIES["match_token_prefix_block"](spark, str(tmp_path))
+    assert found.agg(F.count("*"), F.count_if(F.expr("reference_id = candidate_id and score = 0")), F.count_distinct("reference_id")).first() == (10_001, 10_001, 10_001)
+
+
+
 CUSTOMER = graph.ObjectMapping("Customer", (graph.Property("key", "id", transforms=("trim", "upper")),), (graph.Property("name", "name", required=True),))
 MAIL = graph.ObjectMapping("Mail", (graph.Property("address", "mail", transforms=("trim", "lower")),))
 MAPPING = graph.Mapping((CUSTOMER, MAIL), (graph.RelationMapping("OWNS", CUSTOMER, MAIL),))
