@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from qualigraph import catalogue
+from qualigraph.functions.similarity import jaro_winkler_bytes
 from qualigraph.operators import clean, graph, match, profile, reason, validate
 
 
@@ -135,6 +136,40 @@ def test_token_prefix_block_beyond_the_limit_of_candidates(spark, tmp_path):
 
 
 
+@pytest.fixture(scope="session")
+def crowded_parts(spark, tmp_path_factory):
+    """One block of 10,100 parts: 101 names far from each other, of 100 parts each."""
+    folder = tmp_path_factory.mktemp("crowded")
+    names = F.concat(F.lit("Red "), F.md5((F.col("p_partkey") % 101).cast("string")))
+    spark.range(10_100).select(F.col("id").alias("p_partkey")).withColumn("p_name", names).write.parquet(str(folder / "part.parquet"))
+    return str(folder)
+
+
+def same_names(found):
+    return found.agg(F.count("*"), F.count_if(F.expr("(reference_id - candidate_id) % 101 = 0")), F.count_distinct("reference_id", "candidate_id"), F.min("score"), F.max("score")).first()
+
+
+def test_composite_beyond_the_limit_of_candidates(spark, crowded_parts):
+    assert same_names(catalogue.QUERIES["match_composite"](spark, crowded_parts)) == (1_010_000, 1_010_000, 1_010_000, 1.0, 1.0)
+
+
+def test_composite_finds_every_pair(spark, monkeypatch):
+    monkeypatch.setattr(match, "UNIT", 3)
+    draw = random.Random(5)
+    names = ["mar" + "".join(draw.choice("tinhé") for _ in range(draw.randint(1, 9))) for _ in range(60)]
+    left, right = [(i, draw.choice(names)) for i in range(130)] + [(None, names[0])] * 5, [(i, draw.choice(names)) for i in range(100)]
+    a, b = (spark.createDataFrame(rows, "k long, s string") for rows in (left, right))
+    found = match.by_composite(a, b, "k", "s", most_candidates=None).groupBy("reference_id", "candidate_id", F.round("score", 5)).count().collect()
+    texts, want = dict(right), {}
+    for k, x in left:
+        for _, n, d in pairs_by_hand([(k, x)], right, 3, 99):
+            edits = 1 - d / max(len(x.encode()), len(texts[n].encode())) if d <= 3 else 0
+            score = 0.4 * edits + 0.6 * jaro_winkler_bytes(x.encode(), texts[n].encode())
+            if score >= 0.85:
+                want[k, n, round(score, 5)] = want.get((k, n, round(score, 5)), 0) + 1
+    assert {tuple(r)[:3]: r[3] for r in found} == want and len(want) > 200
+
+
 CUSTOMER = graph.ObjectMapping("Customer", (graph.Property("key", "id", transforms=("trim", "upper")),), (graph.Property("name", "name", required=True),))
 MAIL = graph.ObjectMapping("Mail", (graph.Property("address", "mail", transforms=("trim", "lower")),))
 MAPPING = graph.Mapping((CUSTOMER, MAIL), (graph.RelationMapping("OWNS", CUSTOMER, MAIL),))
