@@ -153,6 +153,10 @@ def test_composite_beyond_the_limit_of_candidates(spark, crowded_parts):
     assert same_names(catalogue.QUERIES["match_composite"](spark, crowded_parts)) == (1_010_000, 1_010_000, 1_010_000, 1.0, 1.0)
 
 
+def test_levenshtein_block_beyond_the_limit_of_candidates(spark, crowded_parts):
+    assert same_names(catalogue.QUERIES["match_levenshtein_block"](spark, crowded_parts)) == (1_010_000, 1_010_000, 1_010_000, 0, 0)
+
+
 def test_composite_finds_every_pair(spark, monkeypatch):
     monkeypatch.setattr(match, "UNIT", 3)
     draw = random.Random(5)
